@@ -30,6 +30,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    profiles = fit(docs.where(f"not ({HELD_OUT})"))
+    return identify(docs, profiles).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.quality import judge
+
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"]
+    return judge(table(spark, sf_dir, "documents")).select(columns)
+
+
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.chat import digests, format_turns
+    from tidemark.llm.common import materialize
+
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string"))
+    return digests(materialize(format_turns(rows), "chat"))
+
+
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.bpe_codec import encode_decode
 
