@@ -1,7 +1,7 @@
 """Quality rules by weak supervision.
 
-Eight rules look at a text's statistics and vote good (1), bad (-1) or abstain
-(0).  Expectation-maximisation over the counts of vote patterns (3**8 at most,
+Nine rules look at a text's statistics and vote good (1), bad (-1) or abstain
+(0).  Expectation-maximisation over the counts of vote patterns (3**9 at most,
 whatever the corpus) estimates how each rule votes on good and on bad texts;
 the posterior probability of good, not all-must-pass filtering, decides.
 
@@ -23,14 +23,15 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 #: Of each rule: the statistic, bad below, good from, good to, bad above.
 RULES: dict[str, tuple[float, float, float, float]] = {
-    "length": (20, 50, float("inf"), float("inf")),
-    "word_length": (2.5, 3.0, 9.0, 12.0),
+    "length": (10, 20, float("inf"), float("inf")),
+    "word_length": (2.5, 3.0, 10.0, 12.0),
     "symbols": (-1, 0, 0.02, 0.1),
-    "dup_lines": (-1, 0, 0.0, 0.3),
-    "repeats": (-1, 0, 0.02, 0.1),
-    "letters": (0.6, 0.75, 1, 2),
-    "digits": (-1, 0, 0.05, 0.2),
-    "variety": (0.2, 0.35, 1, 2),
+    "symbol_chars": (-1, 0, 0.01, 0.04),
+    "dup_lines": (-1, 0, 0.1, 0.3),
+    "repeats": (-1, 0, 0.05, 0.2),
+    "letters": (0.75, 0.9, 1, 2),
+    "digits": (-1, 0, 0.1, 0.3),
+    "variety": (0.6, 1.2, float("inf"), float("inf")),
 }
 #: A text is kept from this posterior probability on.
 KEEP_FROM = 0.5
@@ -80,6 +81,7 @@ def _measures() -> dict[str, Column]:
         "length": F.col("n_words").cast("double"),
         "word_length": share("word_chars", "n_words"),
         "symbols": share("n_symbols", "n_words"),
+        "symbol_chars": share("n_symbols", "word_chars"),
         "dup_lines": share("n_dup_lines", "n_lines"),
         "repeats": share("n_repeat_words", "n_words"),
         "letters": share("n_letters", "word_chars"),
@@ -107,8 +109,8 @@ def fit(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
     codes = np.array(sorted(patterns))
     weight = np.array([patterns[c] for c in codes], float)
     vote = codes[:, None] // 3 ** np.arange(r - 1, -1, -1)[None] % 3
-    # to begin with, a single bad vote outweighs two good ones, as rules that find fault are the rarer
-    post = 1 / (1 + np.exp(-((vote == 2).sum(1) - 3.0 * (vote == 0).sum(1))))
+    # to begin with, any bad vote counts for more than all good ones: rules that find fault speak up seldom
+    post = np.where((vote == 0).any(1), 0.05, 0.95)
     for _ in range(rounds):
         prior = np.clip((weight * post).sum() / weight.sum(), 0.05, 0.95)
         log = np.zeros((len(codes), 2))
@@ -128,7 +130,7 @@ def fit(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """``key``, the statistics, base_failed, votes, quality (posterior) and kept."""
     seen = materialize(stats(df, key, text).withColumn("votes", votes()), "quality")
-    counts = {r.votes: r["count"] for r in seen.groupBy("votes").count().collect()}  # 3**8 rows at most
+    counts = {r.votes: r["count"] for r in seen.groupBy("votes").count().collect()}  # 3**9 rows at most
     post = seen.sparkSession.createDataFrame([*fit(counts).items()], "votes int, quality double")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     out = seen.join(F.broadcast(post), "votes").withColumn("base_failed", failed)

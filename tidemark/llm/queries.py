@@ -24,6 +24,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.embedding_dedup import near_links
+
+    return near_links(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.token_prefix import count_tokens
 
@@ -41,6 +47,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, profiles).select("doc_id", F.expr(HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"), revisit_from=0).drop("url")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import judge
 
