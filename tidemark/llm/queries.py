@@ -53,6 +53,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), revisit_from=0).drop("url")
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.quality import judge
 
