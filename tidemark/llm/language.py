@@ -116,3 +116,19 @@ def identify(df: DataFrame, profiles: Profiles, key: str = "doc_id", text: str =
         return lambda ids, texts: [ids, *zip(*map(profiles.predict, texts), strict=True)]
 
     return _mapped(df, key, text, [("lang_pred", pa.string()), ("score", pa.float64())], make)
+
+
+def keep_known(df: DataFrame, profiles: Profiles, least_score: float, text: str = "text") -> DataFrame:
+    """The rows whose text is in a learned language (not ``und``, at least
+    ``least_score``), with all their columns."""
+
+    def run(batches):
+        at = names.index(text)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = map(profiles.predict, part.column(at).to_pylist())
+                yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found]))
+
+    names = df.columns
+    return df.mapInArrow(run, df.schema)

@@ -13,6 +13,7 @@ repeated rows each count; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,9 @@ KEEP_FROM = 0.5
 _KINDS = [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_kinds")]
 
 
+_hashes = WordHashes()
+
+
 def text_stats(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
     """The statistics in the order of the columns that :func:`stats` gives."""
     found = words(text)
@@ -75,10 +79,22 @@ def stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return _mapped(df, key, text, _KINDS, make)
 
 
-def _measures() -> dict[str, Column]:
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+def stats_column(text: str) -> Column:
+    """The statistics of a column of texts as one struct, beside all other columns."""
+    kind = "struct<" + ", ".join(f"{k}: bigint" for k, _ in _KINDS) + ">"
+
+    @F.pandas_udf(kind)
+    def of(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_stats(x, _hashes) for x in texts], columns=[k for k, _ in _KINDS], dtype="int64")
+
+    return of(F.col(text))
+
+
+def _measures(of: str = "") -> dict[str, Column]:
+    col = lambda name: F.col(of + name)
+    share = lambda a, b: col(a) / F.greatest(col(b), F.lit(1))
     return {
-        "length": F.col("n_words").cast("double"),
+        "length": col("n_words").cast("double"),
         "word_length": share("word_chars", "n_words"),
         "symbols": share("n_symbols", "n_words"),
         "symbol_chars": share("n_symbols", "word_chars"),
@@ -87,14 +103,18 @@ def _measures() -> dict[str, Column]:
         "letters": share("n_letters", "word_chars"),
         "digits": share("n_digits", "word_chars"),
         # distinct words against what a text of this length has at least: long texts repeat words
-        "variety": F.col("n_kinds") / F.greatest(F.pow(F.greatest("n_words", F.lit(1)), F.lit(0.75)), F.lit(1.0)),
+        "variety": col("n_kinds") / F.pow(F.greatest(col("n_words"), F.lit(1)), F.lit(0.75)),
     }
 
 
-def votes() -> Column:
+def base_failed(of: str = "") -> Column:
+    return (F.col(of + "n_words") < 10) | (100 * F.col(of + "n_repeat_words") > 20 * F.col(of + "n_words"))
+
+
+def votes(of: str = "") -> Column:
     """All rules' votes as one number in base 3 (bad 0, abstain 1, good 2)."""
     out = F.lit(0)
-    for name, m in _measures().items():
+    for name, m in _measures(of).items():
         bad_below, good_from, good_to, bad_above = RULES[name]
         vote = F.when((m < bad_below) | (m > bad_above), 0).when((m >= good_from) & (m <= good_to), 2).otherwise(1)
         out = out * 3 + vote
@@ -127,11 +147,22 @@ def fit(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
     return dict(zip(codes.tolist(), post.tolist(), strict=True))
 
 
+def posterior(seen: DataFrame, name: str) -> DataFrame:
+    """``name`` and quality of each vote pattern that occurs: 3**9 rows at most."""
+    counts = {r[0]: r[1] for r in seen.groupBy(name).count().collect()}
+    return seen.sparkSession.createDataFrame([*fit(counts).items()], f"{name} int, quality double")
+
+
+def keep_good(df: DataFrame, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
+    """The rows that pass, with all their columns and without a shuffle of texts."""
+    seen = df.select(F.col(text).alias("text")).withColumn("s", stats_column("text")).select(votes("s.").alias("votes"))
+    good = posterior(seen, "votes").where(F.col("quality") >= keep_from).withColumnRenamed("votes", "__votes").drop("quality")
+    held = df.withColumn("__stats", stats_column(text)).withColumn("__votes", votes("__stats."))
+    return held.where(~base_failed("__stats.")).join(F.broadcast(good), "__votes", "left_semi").drop("__stats", "__votes")
+
+
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
     """``key``, the statistics, base_failed, votes, quality (posterior) and kept."""
     seen = materialize(stats(df, key, text).withColumn("votes", votes()), "quality")
-    counts = {r.votes: r["count"] for r in seen.groupBy("votes").count().collect()}  # 3**9 rows at most
-    post = seen.sparkSession.createDataFrame([*fit(counts).items()], "votes int, quality double")
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    out = seen.join(F.broadcast(post), "votes").withColumn("base_failed", failed)
+    out = seen.join(F.broadcast(posterior(seen, "votes")), "votes").withColumn("base_failed", base_failed())
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= keep_from))

@@ -36,6 +36,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.ngram_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), threshold=75).drop("class_id")
+
+
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
 
 
