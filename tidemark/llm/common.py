@@ -85,6 +85,27 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
+class Memo(dict):
+    """key -> ``make(key)``, remembered in two generations: when the young one is
+    full it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, make: Callable, longest: int, entries: int = MEMO_ENTRIES):
+        super().__init__()
+        self.make, self.longest, self.entries, self.old = make, longest, entries // 2, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.entries:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift and multiply), bijective."""
     x = x ^ (x >> np.uint64(31))
