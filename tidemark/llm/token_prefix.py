@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MEMO_ENTRIES, over_rows
+from tidemark.llm.common import MEMO_ENTRIES, Memo, over_rows
 
 MARK = "▁"
 #: A unit: space marks, other characters that are no letters, letters.  No piece goes on after a letter with anything but a letter.
@@ -49,8 +49,8 @@ class PrefixCounter:
             self.ends.add_word(p, (len(p), k))
         self.ends.make_automaton()
         self._pairs: dict[int, bool] = {}
-        self._units: dict[str, bytes] = {}
-        self._chunks: dict[str, bytes] = {}
+        self.unit = Memo(self._unit, MEMO_UNIT).__getitem__
+        self.chunk = Memo(self._chunk, MEMO_UNIT).__getitem__
 
     def merge(self, text: str) -> list[str]:
         """The encoding by the definition: join the neighbours of best score, leftmost first."""
@@ -73,10 +73,8 @@ class PrefixCounter:
         got = self._pairs[a << 20 | b] = self.merge(x + y) == [x, y]
         return got
 
-    def unit(self, unit: str) -> np.ndarray | bytes:
+    def _unit(self, unit: str) -> np.ndarray | bytes:
         """Counts at the unit's prefixes of 1, 2, ... characters."""
-        if unit in self._units:
-            return self._units[unit]
         last, count, pairs = [-1], [0], self._pairs
         for end, (n, t) in self.ends.iter(unit):
             if end < len(last) - 1:
@@ -96,10 +94,7 @@ class PrefixCounter:
             last.append(-1)
         if len(unit) > MEMO_UNIT or count[-1] > 255:
             return np.array(count[1:], np.int64)
-        if len(self._units) >= MEMO_ENTRIES:
-            self._units.clear()
-        got = self._units[unit] = bytes(count[1:])
-        return got
+        return bytes(count[1:])
 
     def _chunk(self, chunk: str) -> np.ndarray | bytes:
         """Counts at the prefixes of a word with the mark before it."""
@@ -111,9 +106,6 @@ class PrefixCounter:
         for x in parts[1:]:
             base = got[-1]
             got += bytes([base + v for v in x])
-        if len(self._chunks) >= MEMO_ENTRIES:
-            self._chunks.clear()
-        self._chunks[chunk] = got
         return got
 
     def prefixes(self, text: str | None) -> np.ndarray:
@@ -122,11 +114,9 @@ class PrefixCounter:
             return np.zeros(1, np.int64)
         if " " in (text[0], text[-1]) or "  " in text or MARK in text:
             units = _UNIT.findall(MARK + text.replace(" ", MARK))
-            found = [self._units.get(u) or self.unit(u) for u in units]
+            found = [*map(self.unit, units)]
         else:
-            units = text.split(" ")
-            known = self._chunks.get
-            found = [known(c) or self._chunk(c) for c in units]
+            found = [*map(self.chunk, text.split(" "))]
         if all(type(x) is bytes for x in found):
             flat = np.frombuffer(b"".join(found), np.uint8).astype(np.int64)
         else:
