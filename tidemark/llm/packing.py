@@ -47,15 +47,19 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
         self._memo: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         memo = self._memo
         cut = [x.split(" ") if x else [] for x in texts]
         new = list({c for x in cut for c in x if c not in memo})
-        if len(memo) + len(new) > MEMO_ENTRIES:
-            memo.clear()
+        if len(memo) + len(new) > MEMO_ENTRIES // 2:  # the young memo becomes the old one
+            self._old, self._memo = memo, (memo := {})
             new = list({c for x in cut for c in x})
+        old = self._old
+        memo.update((c, old[c]) for c in new if c in old)
+        new = [c for c in new if c not in memo]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
