@@ -18,6 +18,8 @@ rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Callable
 
@@ -37,34 +39,84 @@ _LOCAL_BITS = 36
 
 
 class WordEncoder:
-    """Ids of a tokenizers file whose pre-tokeniser drops white space, by space-separated chunk."""
+    """Ids of a tokenizers file that drops white space and marks the ends of words.
+
+    A text's space-separated chunks are remembered; a new chunk is cut into words,
+    which are remembered too, and all new words of a batch go to the library as
+    one text, whose ids part after each end of a word.  A chunk with characters
+    above U+00FF, which normalisation may change, or with what might be a special
+    token, goes to the library as it is.
+    """
 
     def __init__(self, path: str, end: int | None = None):
+        import regex
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        suffix = spec["model"]["end_of_word_suffix"]
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
+        self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith(suffix)]] = True
+        inside = lambda c: "".join(re.escape(chr(k)) for k in range(256) if regex.fullmatch(c, chr(k)))
+        letter, number, space = map(inside, (r"\p{L}", r"\p{N}", r"\s"))
+        latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"[\p{L}]", f"[{letter}]").replace(r"[\p{N}]", f"[{number}]")
+        self.find, self.simple = re.compile(latin).findall, re.compile(r"(?!.*<\|)[\0-\xff]*", re.DOTALL).fullmatch
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
-        self._memo: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
+
+    def _library(self, parts: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _new_words(self, new: list[str]) -> None:
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+            if len(cut) == len(part):
+                flat = ids.tobytes()
+                self.words.update(zip(part, (flat[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)), strict=True))
+            else:  # the text of all words did not part into them
+                self.words.update(zip(part, self._library(part), strict=True))
+
+    def _learn(self, texts: list[list[str]]) -> None:
+        """Makes sure that all chunks of ``texts`` are remembered."""
+        known = self.chunks
+        new = {c for x in texts for c in x if c not in known}
+        if len(known) + len(new) > MEMO_ENTRIES // 2:  # the young memo becomes the old one
+            self.old_chunks, self.chunks = known, (known := {})
+            new = {c for x in texts for c in x}
+        if len(self.words) > MEMO_ENTRIES // 4:
+            self.old_words, self.words = self.words, {}
+        old, cut, hard = self.old_chunks, {}, []
+        for c in new:
+            if c in old:
+                known[c] = old[c]
+            elif c.isascii() and c.isalpha():
+                cut[c] = (c.lower(),)
+            elif c.isascii() and c[-1:] in (".", ",") and c[:-1].isalpha():
+                cut[c] = (c[:-1].lower(), c[-1])
+            elif self.simple(c):
+                cut[c] = self.find(c.lower())
+            else:
+                hard.append(c)
+        words, old = self.words, self.old_words
+        fresh = {w for x in cut.values() for w in x if w not in words}
+        words.update((w, old[w]) for w in fresh if w in old)
+        self._new_words([w for w in fresh if w not in words])
+        get = words.__getitem__
+        for c, x in cut.items():
+            known[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
+        known.update(zip(hard, self._library(hard), strict=True))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        memo = self._memo
         cut = [x.split(" ") if x else [] for x in texts]
-        new = list({c for x in cut for c in x if c not in memo})
-        if len(memo) + len(new) > MEMO_ENTRIES // 2:  # the young memo becomes the old one
-            self._old, self._memo = memo, (memo := {})
-            new = list({c for x in cut for c in x})
-        old = self._old
-        memo.update((c, old[c]) for c in new if c in old)
-        new = [c for c in new if c not in memo]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                memo[c] = np.asarray(e.ids, "<u4").tobytes()
-        got = memo.__getitem__
+        self._learn(cut)
+        got = self.chunks.__getitem__
         return [b"".join(map(got, x)) + self.end for x in cut]
 
 
