@@ -13,7 +13,6 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
@@ -62,29 +61,10 @@ def over_rows(columns: list[str], schema: pa.Schema, make: Callable[[], Callable
     return run
 
 
-def words(text: str | None) -> list[bytes]:
-    """Maximal runs of ``[^\\x20\\x09-\\x0D]``; A-Z are lower-cased by the caller."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
-
-
 def white_chars(text: str) -> int:
     return sum(text.count(c) for c in _WHITE)
 
 
-class WordHashes(dict):
-    """word (bytes) -> 64-bit hash, remembered; cleared when it has grown too large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
-
-    def of(self, found: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
-
-
 class Memo(dict):
     """key -> ``make(key)``, remembered in two generations: when the young one is
     full it becomes the old one, and what is asked for again moves back."""
@@ -115,12 +95,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+class WordHasher:
+    """64-bit hashes of all words of a text at once, by array operations alone.
+
+    A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``.  Each byte has a
+    random number; the running sums of these times powers of an odd number give
+    a word's polynomial as a difference, freed of its place by the inverse power."""
+
+    def __init__(self, fold_case: bool = False):
+        rng = np.random.default_rng(20_240_229)
+        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if fold_case:
+            self.byte[65:91] = self.byte[97:123]
+        self.white = np.zeros(256, bool)
+        self.white[[9, 10, 11, 12, 13, 32]] = True
+        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
+        self.power = self.back = np.ones(0, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            steps = np.full(max(n, 1 << 15) * 2, self.base, np.uint64)
+            steps[0] = 1
+            self.power = np.multiply.accumulate(steps)
+            steps[1:] = pow(self.base, -1, 1 << 64)
+            self.back = np.multiply.accumulate(steps)
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+        if not len(raw):
+            return np.zeros(0, np.uint64)
+        self._powers(len(raw) + 1)
+        gap = np.ones(len(raw) + 2, bool)
+        gap[1:-1] = self.white[raw]
+        edges = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.byte[raw] * self.power[: len(raw)], out=sums[1:])
+        return mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+
+
+_STEPS = np.random.default_rng(20_240_301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
-    """Hash of each window of ``width`` word hashes; of the whole, if shorter."""
+    """Hash of each window of ``width`` (at most 63) word hashes; of the whole, if shorter."""
     if not len(h):
         return h
     width = min(width, len(h))
-    out = np.full(len(h) - width + 1, width, np.uint64)
+    n = len(h) - width + 1
+    out = np.full(n, int(_STEPS[63]) * width % (1 << 64), np.uint64)
     for k in range(width):
-        out = mix(out) + h[k : len(h) - width + 1 + k]
+        out += h[k : n + k] * _STEPS[k]
     return mix(out)

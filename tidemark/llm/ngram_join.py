@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, discard, materialize, window_hashes
+from tidemark.llm.common import WordHasher, discard, materialize, window_hashes
 from tidemark.llm.components import components
 
 WIDTH = 5
@@ -57,11 +57,11 @@ PAIRS_FOR_EACH = 16
 _HALF = np.uint64(1 << 63)
 
 
-def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
+def shingles(text: str | None, hashes: WordHasher) -> np.ndarray:
     """The document's set, as sorted 64-bit hashes."""
-    if not text:
-        return np.zeros(0, np.uint64)
-    return np.unique(window_hashes(hashes.of(text.encode("utf-8", "surrogatepass").lower().split()), WIDTH))
+    u = window_hashes(hashes(text), WIDTH)
+    u.sort()
+    return u[np.concatenate([[True], u[1:] != u[:-1]])] if len(u) else u
 
 
 def window(n: int) -> int:
@@ -75,18 +75,31 @@ def _by_bucket(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return number >> 32, number
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte by byte, first bytes first: zeros lie together and compress."""
+    return np.ascontiguousarray(x.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _numbers(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
+def _sorted_planes(x: np.ndarray) -> bytes:
+    """Ascending numbers as steps, which are small."""
+    return _planes(np.diff(x, prepend=0))
+
+
 def _heavy(docs: DataFrame, bits: int, most: int) -> np.ndarray:
     """Numbers of the most frequent shingles (of the lower half of all hashes)."""
 
     def count(batches):
-        hashes, held, n = WordHashes(), [], 0
+        hashes, held, n = WordHasher(fold_case=True), [], 0
 
         def give():
             numbers, counts = np.unique(np.concatenate(held), return_counts=True)
             edges = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
-            cut = lambda x, t: [part.astype(t).tobytes() for part in np.split(x, edges[1:])]
-            low = (numbers & 0xFFFFFFFF).astype("<u4")
-            return pa.RecordBatch.from_arrays([pa.array(numbers[edges] >> 32, pa.int64()), pa.array(cut(low, "<u4"), pa.binary()), pa.array(cut(np.minimum(counts, 65535), "<u2"), pa.binary())], ["bucket", "keys", "counts"])
+            cut = lambda x, f: pa.array([f(part) for part in np.split(x, edges[1:])], pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(numbers[edges] >> 32, pa.int64()), cut(numbers & 0xFFFFFFFF, _sorted_planes), cut(counts, _planes)], ["bucket", "keys", "counts"])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
@@ -100,14 +113,14 @@ def _heavy(docs: DataFrame, bits: int, most: int) -> np.ndarray:
             yield give()
 
     def total(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
-        counts = np.concatenate([np.frombuffer(x, "<u2") for x in pdf["counts"]]).astype(np.int64)
+        keys = np.concatenate([np.cumsum(_numbers(x)) for x in pdf["keys"]])
+        counts = np.concatenate([_numbers(x) for x in pdf["counts"]])
         order = np.argsort(keys, kind="stable")
         keys, counts = keys[order], counts[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
         sums = np.add.reduceat(counts, first)
         much = sums >= HEAVY_FROM
-        return pd.DataFrame({"number": keys[first][much].astype(np.int64) | int(pdf["bucket"].iloc[0]) << 32, "n": sums[much]})
+        return pd.DataFrame({"number": keys[first][much] | int(pdf["bucket"].iloc[0]) << 32, "n": sums[much]})
 
     found = materialize(docs.select("text").mapInArrow(count, "bucket bigint, keys binary, counts binary").groupBy("bucket").applyInPandas(total, "number bigint, n bigint"), "heavy")
     sizes = sorted(((r.size, r.n) for r in found.groupBy(F.floor(F.log2("n") * 8).cast("int").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True)
@@ -123,12 +136,16 @@ def _heavy(docs: DataFrame, bits: int, most: int) -> np.ndarray:
 
 def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
     """Rows of two kinds: a document (doc_id, n, same, frequent pivots), and a
-    bucket's pivots of many documents (bucket, keys, ids)."""
+    region of several documents (sign of its members, members).
+
+    Documents and pivots go to buckets in one shuffle; a bucket's regions with
+    the same members are one, and no region here has more members than a
+    frequent shingle has documents."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64())), ("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary())])
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64()))])
 
     def run(batches):
-        often, hashes = sent.value, WordHashes()
+        often, hashes = sent.value, WordHasher(fold_case=True)
         held_keys, held_ids, n = [], [], 0
 
         def packed():
@@ -136,11 +153,10 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
             order = np.argsort(numbers, kind="stable")
             numbers, ids = numbers[order], ids[order]
             edges = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
-            keys = [x.tobytes() for x in np.split((numbers & 0xFFFFFFFF).astype("<u4"), edges[1:])]
-            # byte by byte, so that the ids' leading zeros compress
-            own = [x.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for x in np.split(ids, edges[1:])]
+            keys = [*map(_sorted_planes, np.split(numbers & 0xFFFFFFFF, edges[1:]))]
             none = [None] * len(keys)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([none, none, none, none, numbers[edges] >> 32, keys, own], schema.types, strict=True)], schema=schema)
+            cols = [numbers[edges] >> 32, keys, [*map(_planes, np.split(ids, edges[1:]))], none, none, none, none]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -152,7 +168,7 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
                     frequent: list = []
                     if same is not None:
                         w = window(len(u))
-                        low = u[u < _HALF]
+                        low = u[: np.searchsorted(u, _HALF)]
                         numbers = _by_bucket(low, bits)[1]
                         put_off = np.zeros(len(low), bool)
                         if len(often):
@@ -162,49 +178,77 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
                         held_ids.append(np.full(len(seldom), doc, np.int64))
                         n += len(seldom)
                         if len(seldom) < w:
-                            frequent = np.concatenate([low[put_off], u[u >= _HALF]])[: w - len(seldom)].view(np.int64).tolist()
-                    rows.append((doc, len(u), same, frequent))
-                cols = [*zip(*rows, strict=True), *[[None] * len(rows)] * 3]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
+                            frequent = np.concatenate([low[put_off], u[len(low) :]])[: w - len(seldom)].view(np.int64).tolist()
+                    rows.append((-1 - (doc or 0) % (1 << bits), None, None, doc, len(u), same, frequent))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 if n >= FLUSH_KEYS:
                     yield packed()
                     held_keys, held_ids, n = [], [], 0
         if n:
             yield packed()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, same binary, frequent array<bigint>, bucket bigint, keys binary, ids binary")
+    dealt = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, keys binary, ids binary, doc_id bigint, n bigint, same binary, frequent array<bigint>")
+    return dealt.groupBy("bucket").applyInArrow(_regions, "doc_id bigint, n bigint, same binary, frequent array<bigint>, sign binary, members array<bigint>")
 
 
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of a bucket's pivots those that several documents have."""
-    keys = np.concatenate([np.frombuffer(x, "<u4") for x in pdf["keys"]])
-    ids = np.concatenate([np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(8, -1).T).view("<i8").ravel() for x in pdf["ids"]])
-    order = np.argsort(keys, kind="stable")
+def _regions(got: pa.Table) -> pa.Table:
+    """A bucket's documents as they are; of its pivots the regions of several documents."""
+    kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64())), ("sign", pa.binary()), ("members", pa.list_(pa.int64()))]
+    if got.column("bucket")[0].as_py() < 0:
+        none = pa.nulls(got.num_rows)
+        columns = [got.column(k) for k, _ in kinds[:4]] + [none.cast(t) for _, t in kinds[4:]]
+        return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
+    keys = np.concatenate([np.cumsum(_numbers(x)) for x in got.column("keys").to_pylist()])
+    ids = np.concatenate([*map(_numbers, got.column("ids").to_pylist())])
+    order = np.lexsort((ids, keys))
     keys, ids = keys[order], ids[order]
-    equal = keys[1:] == keys[:-1]
-    held = np.concatenate([equal, [False]]) | np.concatenate([[False], equal])
-    return pd.DataFrame({"key": keys[held].astype(np.int64) | int(pdf["bucket"].iloc[0]) << 32, "doc_id": ids[held]})
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    size = np.diff(np.append(first, len(keys)))
+    found = {}
+    for at, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
+        members = ids[at : at + k]
+        found[hashlib.blake2b(members.tobytes(), digest_size=16).digest()] = members
+    lists = pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))
+    columns = [pa.nulls(len(found)).cast(t) for _, t in kinds[:4]] + [pa.array([*found], pa.binary()), lists]
+    return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
+
+
+def _compressed(docs: DataFrame) -> DataFrame:
+    """doc_id and the text under zstd, which halves what the joins move."""
+
+    def run(batches):
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            z = pa.array([press(x.encode("utf-8", "surrogatepass")) for x in batch.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), z], ["doc_id", "z"])
+
+    return docs.where("doc_id is not null and text is not null").mapInArrow(run, "doc_id bigint, z binary")
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     """a, b, distance and linked of pairs, from the whole texts."""
 
     def run(batches):
-        hashes, last, b_set = WordHashes(), None, None
+        import zstandard
+
+        hashes, last, b_set, plain = WordHasher(fold_case=True), None, None, zstandard.ZstdDecompressor().decompress
+        text = lambda z: plain(z).decode("utf-8", "surrogatepass")
         for batch in batches:
             d, linked = [], []
             for x, y, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != last:
-                    last, b_set = b, shingles(y, hashes)
-                a_set = shingles(x, hashes)
+                    last, b_set = b, shingles(text(y), hashes)
+                a_set = shingles(text(x), hashes)
                 both = len(np.intersect1d(a_set, b_set, assume_unique=True))
                 union = len(a_set) + len(b_set) - both
                 d.append(1 - both / union if union else 1.0)
                 linked.append(bool(union) and 100 * both >= threshold * union)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
 
-    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("x")), "a")
-    both = left.join(texts.select(F.col("rep").alias("b"), F.col("text").alias("y")), "b")
+    left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("z").alias("x")), "a")
+    both = left.join(texts.select(F.col("rep").alias("b"), F.col("z").alias("y")), "b")
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, d double, linked boolean"), "compared")
 
 
@@ -217,7 +261,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     bits = int(np.clip(np.ceil(np.log2(max(chars / 8 / BUCKET_KEYS, 1))), 5, 24))
     placed = materialize(_place(docs, bits, _heavy(docs, bits, HEAVY_KEYS)), "placed")
 
-    rows = placed.where("bucket is null")
+    rows = placed.where("members is null")
     first = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     classes = materialize(rows.select("doc_id", "n", "same").join(first, "same", "left").select("doc_id", "n", "rep"), "classes")
     links = _links(docs, placed, classes, threshold)
@@ -227,20 +271,23 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
 
 
 def _links(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
-    seldom = placed.where("bucket is not null").select("bucket", "keys", "ids").groupBy("bucket").applyInPandas(_shared, "key bigint, doc_id bigint")
     one = classes.where("rep is not null").select("doc_id", "n", "rep").distinct()
-    frequent = placed.where(F.size("frequent") > 0).select("doc_id", "frequent").join(one.where("doc_id = rep"), "doc_id").select(F.explode("frequent").alias("key"), "rep", "n")
-    # numbers of seldom pivots may equal hashes of frequent ones: a sign keeps the kinds apart
-    members = seldom.join(one, "doc_id").select((-F.col("key") - 1).alias("key"), "rep", "n").distinct().unionByName(frequent.select(F.col("key").bitwiseAND(F.lit(0x7FFFFFFFFFFFFFFF)).alias("key"), "rep", "n").distinct())
-    members = materialize(members, "members")
-    pivots = members.groupBy("key").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("size"), F.min_by("n", "rep").alias("pn")).where("size > 1")
-    regions = materialize(members.join(pivots, "key").select("key", "rep", "n", "pivot", "pn"), "regions")
+    seldom = placed.where("members is not null").groupBy("sign").agg(F.first("members").alias("members"))
+    seldom = seldom.select(F.xxhash64("sign").alias("key"), F.explode("members").alias("doc_id")).join(one, "doc_id").select("key", "rep", "n").distinct()
+    frequent = placed.where(F.size("frequent") > 0).select("doc_id", "frequent").join(one.where("doc_id = rep"), "doc_id").select(F.explode("frequent").alias("key"), "rep", "n").distinct()
+    # the sign of a region's members again, now that equal documents are one: equal regions are one
+    members = materialize(seldom.unionByName(frequent), "members")
+    signs = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("pivot"), F.min_by("n", "rep").alias("pn"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("size > 1")
+    pivots = signs.groupBy("size", "pivot", "pn", "x", "y").agg(F.min("key").alias("key"))
+    regions = materialize(members.join(pivots.select("key", "pivot", "pn"), "key").select("key", "rep", "n", "pivot", "pn"), "regions")
     discard(members)
 
     near = lambda m, n: 4 * F.least(m, n) >= 3 * F.greatest(m, n)
     met = regions.where("rep <> pivot").where(near("n", "pn")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    texts = docs.join(regions.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select(F.col("doc_id").alias("rep"), "text")
-    texts = materialize(texts.dropDuplicates(["rep"]), "texts")
+    met = materialize(met, "met")
+    wanted = regions.select(F.col("rep").alias("doc_id")).distinct()
+    texts = _compressed(docs).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("z").alias("z"))
+    texts = materialize(texts, "texts")
     compared = _compare(met, texts, threshold)
     links, checked = compared.where("linked").select("a", "b"), compared.select("a", "b")
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHashes, materialize, over_rows, white_chars, window_hashes, words
+from tidemark.llm.common import WordHasher, materialize, white_chars, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -40,17 +40,17 @@ KEEP_FROM = 0.5
 _KINDS = [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_kinds")]
 
 
-_hashes = WordHashes()
+_hashes = WordHasher()
 
 
-def text_stats(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
+def text_stats(text: str | None, hashes: WordHasher) -> tuple[int, ...]:
     """The statistics in the order of the columns that :func:`stats` gives."""
-    found = words(text)
-    if not found:
+    h = hashes(text)
+    n = len(h)
+    if not n:
         return (0,) * len(_KINDS)
-    n = len(found)
     lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
-    repeat, h = 0, hashes.of(found)
+    repeat = 0
     if n > WINDOW:
         windows = window_hashes(h, WINDOW)
         order = np.argsort(windows, kind="stable")
@@ -66,14 +66,14 @@ def text_stats(text: str | None, hashes: WordHashes) -> tuple[int, ...]:
     low = raw | 32
     digits = int(((raw >= 48) & (raw <= 57)).sum())
     letters = int(((low >= 97) & (low <= 122) | (raw >= 0xC0)).sum())
-    return n, len(text) - white_chars(text), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines), letters, digits, len(np.unique(h[:])) if n > 1 else 1
+    return n, len(text) - white_chars(text), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines), letters, digits, len(np.unique(h))
 
 
 def stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     from tidemark.llm.token_prefix import _mapped
 
     def make():
-        hashes = WordHashes()
+        hashes = WordHasher()
         return lambda ids, texts: [ids, *zip(*[text_stats(x, hashes) for x in texts], strict=True)]
 
     return _mapped(df, key, text, _KINDS, make)
