@@ -99,5 +99,45 @@ def queries() -> dict[str, Query]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_REACH = """
+    e AS (SELECT a AS u, b AS v FROM l UNION ALL SELECT b, a FROM l),
+    r AS (SELECT id AS u, id AS root FROM ids UNION SELECT e.v, r.root FROM r JOIN e ON e.u = r.u),
+    c AS (SELECT u AS id, min(root) AS component_id FROM r GROUP BY u)
+"""
+
+_SQL = {
+    "op1_ngram_join": r"""
+        WITH RECURSIVE ids AS (SELECT DISTINCT doc_id AS id FROM documents),
+        w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+    """ + _REACH + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id",
+    "op3_embedding_dedup": """
+        WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
+        x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR isnan(q) OR isinf(q))) = 0 AND len(list_filter(embedding, lambda q: q <> 0)) > 0),
+        l AS (SELECT y.vec_id AS a, z.vec_id AS b FROM x y JOIN x z ON y.vec_id < z.vec_id WHERE list_cosine_similarity(y.v, z.v) >= 0.9),
+    """ + _REACH + """, m AS (SELECT u, count(*) AS n FROM e GROUP BY u)
+        SELECT i.id AS vec_id, coalesce(m.n, 0) AS n_links, c.component_id, i.id = c.component_id AS kept FROM ids i LEFT JOIN m ON m.u = i.id JOIN c ON c.id = i.id""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+        h AS (SELECT page_id, octet_length(encode(t)) AS payload_bytes, sha1(t) AS hex, max(page_id) OVER (PARTITION BY sha1(t)) AS top FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+            list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) + 1, 1)), 'string_agg', '') AS payload_digest,
+            CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+        FROM h""",
+    "op10_chat_format": r"""
+        WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        x AS (SELECT *, length(text) + length(text) - length(replace(text, '\', '')) + len(regexp_extract_all(text, '\[/?INST\]|</?s>|<</?SYS>>|<\|(role|text|end)\|>')) + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7 ELSE 23 + length(role) END AS n FROM t),
+        y AS (SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS upto, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, role DESC, text DESC) AS back FROM x)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            CAST(sum(CASE WHEN role = 'assistant' OR back = 1 THEN upto ELSE 0 END) AS BIGINT) AS formatted_chars, count(*) FILTER (role = 'assistant' OR back = 1) AS n_examples
+        FROM y GROUP BY conv_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL for what it can express; the others are held against brute force, libraries or held-out labels in the tests."""
+    return {k: " ".join(v.split()) if "'\\'" not in v else v for k, v in _SQL.items()}
