@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import WordHasher, discard, materialize, window_hashes
-from tidemark.llm.components import components
+from tidemark.llm.components import components, joined
 
 WIDTH = 5
 #: Frequent shingles that the order puts off, at most (8 bytes each, sent to all workers).
@@ -264,13 +264,12 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     rows = placed.where("members is null")
     first = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     classes = materialize(rows.select("doc_id", "n", "same").join(first, "same", "left").select("doc_id", "n", "rep"), "classes")
-    links = _links(docs, placed, classes, threshold)
-    found = components(links, "a", "b")
+    found = _components(docs, placed, classes, threshold)
     out = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
-def _links(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     one = classes.where("rep is not null").select("doc_id", "n", "rep").distinct()
     seldom = placed.where("members is not null").groupBy("sign").agg(F.first("members").alias("members"))
     seldom = seldom.select(F.xxhash64("sign").alias("key"), F.explode("members").alias("doc_id")).join(one, "doc_id").select("key", "rep", "n").distinct()
@@ -293,9 +292,8 @@ def _links(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: in
 
     # distance of each member to its region's pivot, for the windows
     regions = materialize(regions.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d"), ["rep", "pivot"], "left").select("key", "rep", "n", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("rep") == F.col("pivot")).alias("done")), "regions")
-    new = 1
+    new, comp = 1, materialize(components(links, "a", "b"), "components")
     while True:
-        comp = components(links, "a", "b")
         now = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
         main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
@@ -313,14 +311,16 @@ def _links(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: in
         pairs = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & near(F.col("u.n"), F.col("v.n")) & window_fits)
         pairs = pairs.select(F.greatest("u.rep", "v.rep").alias("a"), F.least("u.rep", "v.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         compared = _compare(materialize(pairs, "pairs"), texts, threshold)
-        links = links.unionByName(compared.where("linked").select("a", "b"))
+        found = compared.where("linked")
+        if found.limit(1).count():
+            comp = materialize(joined(comp, found, "a", "b"), "components")
         if few:
             break
         checked = checked.unionByName(compared.select("a", "b"))
         retired = apart.select("key", "rep", F.lit(True).alias("was"))
         regions = materialize(now.join(retired, ["key", "rep"], "left").select("key", "rep", "n", "d", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "regions")
         new *= 2
-    return links
+    return comp
 
 
 def _first_of(key: str):
