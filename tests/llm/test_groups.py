@@ -40,8 +40,11 @@ def corpus():
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("heavy, each", [(1 << 18, 16), (0, 16), (1 << 18, 0)])
-def test_join_equals_brute_force(spark, monkeypatch, heavy, each):
+@pytest.mark.parametrize("heavy, each, block", [(1 << 18, 4096, 1024), (0, 4096, 4), (1 << 18, 0, 4)])
+def test_join_equals_brute_force(spark, monkeypatch, heavy, each, block):
+    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_APART", 7)
+    monkeypatch.setattr(ngram_join, "BLOCK_ALL", 30)
     monkeypatch.setattr(ngram_join, "HEAVY_KEYS", heavy)
     monkeypatch.setattr(ngram_join, "HEAVY_FROM", 8)
     monkeypatch.setattr(ngram_join, "PAIRS_FOR_EACH", each)
@@ -58,6 +61,21 @@ def test_join_edges(spark):
     assert ngram_join.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_sketches_never_rule_out_a_link():
+    rng, hashes = random.Random(9), ngram_join.WordHasher(fold_case=True)
+    for _ in range(300):
+        a = words(rng, rng.randint(5, 400))
+        b = list(a)
+        for _ in range(rng.randint(0, 12)):
+            b[rng.randrange(len(b))] = words(rng, 1)[0]
+        if rng.random() < 0.5:
+            b += words(rng, rng.randint(0, len(b) // 3))
+        x, y = (ngram_join.shingles(" ".join(w), hashes) for w in (a, b))
+        both = len(np.intersect1d(x, y))
+        if 100 * both >= 75 * (len(x) + len(y) - both):
+            assert ngram_join._may_link(ngram_join.sketch(x), ngram_join.sketch(y), len(x), len(y))
+
+
 def test_window_is_exact():
     for n in range(1, 400):
         least = next(k for k in range(n + 1) if 100 * k >= 75 * n)

@@ -20,7 +20,10 @@ Documents that are connected already need no comparison; of the rest, only
 pairs whose distances to the pivot differ by at most the threshold can link.
 If more pairs remain than :data:`PAIRS_FOR_EACH` for each document, the region
 is joined again with twice as many new pivots among the documents that are
-still apart; else all of them are compared.  Each comparison is of whole sets.
+still apart; else all of them are compared, large regions in blocks.  Before
+whole sets are compared, odd sketches are: a bit for each part of the hash range
+that holds an odd number of shingles.  Their Hamming distance is never more than
+the sets' symmetric difference, so what it rules out is certain.
 
 Hot groups: equal sets are one class before any pair is made; frequent pivots
 go through joins and pre-aggregated groups only; no group is collected that
@@ -52,7 +55,11 @@ HEAVY_FROM = 32
 #: Keys of a bucket, about, and held by a task before they are passed on.
 BUCKET_KEYS, FLUSH_KEYS = 1 << 20, 1 << 20
 #: Pairs left for each document of the regions, up to which all are compared.
-PAIRS_FOR_EACH = 16
+PAIRS_FOR_EACH = 4096
+#: Regions with more pairs left than this are compared in blocks of so many documents.
+BLOCK_PAIRS, BLOCK_APART, BLOCK_ALL = 1024, 1024, 4096
+#: Bits of a sketch at most; it has two to four for each shingle.
+SKETCH_BITS = 1 << 16
 
 _HALF = np.uint64(1 << 63)
 
@@ -64,6 +71,28 @@ def shingles(text: str | None, hashes: WordHasher) -> np.ndarray:
     return u[np.concatenate([[True], u[1:] != u[:-1]])] if len(u) else u
 
 
+def sketch(u: np.ndarray) -> bytes:
+    """Parity of the shingles in each of equal parts of the hash range."""
+    bits = min(max(8, (2 * len(u) - 1).bit_length()), SKETCH_BITS.bit_length() - 1)
+    at = (u >> np.uint64(64 - bits)).astype(np.int64)
+    return np.packbits(np.bincount(at, minlength=1 << bits).astype(np.uint8) & 1).tobytes()
+
+
+def _folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """Rows of packed sketches at a smaller size: neighbouring parts become one."""
+    while bits.shape[1] > size:
+        bits = np.packbits(np.bitwise_xor.reduce(np.unpackbits(bits, axis=1).reshape(len(bits), -1, 2), axis=2), axis=1)
+    return bits
+
+
+def _may_link(x: bytes, y: bytes, m: int, n: int) -> bool:
+    """False only if sets of m and n shingles with these sketches cannot link: their symmetric difference is above a seventh."""
+    if len(x) != len(y):
+        size = min(len(x), len(y))
+        x, y = (_folded(np.frombuffer(z, np.uint8)[None], size).tobytes() for z in (x, y))
+    return 7 * (int.from_bytes(x, "big") ^ int.from_bytes(y, "big")).bit_count() <= m + n
+
+
 def window(n: int) -> int:
     """Regions that a document of ``n`` shingles can share with a partner."""
     return n - (3 * n + 3) // 4 + 1 if n else 0
@@ -142,7 +171,7 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
     the same members are one, and no region here has more members than a
     frequent shingle has documents."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
-    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64()))])
+    schema = pa.schema([("bucket", pa.int64()), ("keys", pa.binary()), ("ids", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         often, hashes = sent.value, WordHasher(fold_case=True)
@@ -155,7 +184,7 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
             edges = np.flatnonzero(np.diff(numbers >> 32, prepend=-1))
             keys = [*map(_sorted_planes, np.split(numbers & 0xFFFFFFFF, edges[1:]))]
             none = [None] * len(keys)
-            cols = [numbers[edges] >> 32, keys, [*map(_planes, np.split(ids, edges[1:]))], none, none, none, none]
+            cols = [numbers[edges] >> 32, keys, [*map(_planes, np.split(ids, edges[1:]))], none, none, none, none, none]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
@@ -179,7 +208,7 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
                         n += len(seldom)
                         if len(seldom) < w:
                             frequent = np.concatenate([low[put_off], u[len(low) :]])[: w - len(seldom)].view(np.int64).tolist()
-                    rows.append((-1 - (doc or 0) % (1 << bits), None, None, doc, len(u), same, frequent))
+                    rows.append((-1 - (doc or 0) % (1 << bits), None, None, doc, len(u), same, frequent, sketch(u) if same else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
                 if n >= FLUSH_KEYS:
                     yield packed()
@@ -187,16 +216,16 @@ def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
         if n:
             yield packed()
 
-    dealt = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, keys binary, ids binary, doc_id bigint, n bigint, same binary, frequent array<bigint>")
-    return dealt.groupBy("bucket").applyInArrow(_regions, "doc_id bigint, n bigint, same binary, frequent array<bigint>, sign binary, members array<bigint>")
+    dealt = docs.select("doc_id", "text").mapInArrow(run, "bucket bigint, keys binary, ids binary, doc_id bigint, n bigint, same binary, frequent array<bigint>, sketch binary")
+    return dealt.groupBy("bucket").applyInArrow(_regions, "doc_id bigint, n bigint, same binary, frequent array<bigint>, sketch binary, sign binary, members array<bigint>")
 
 
 def _regions(got: pa.Table) -> pa.Table:
     """A bucket's documents as they are; of its pivots the regions of several documents."""
-    kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64())), ("sign", pa.binary()), ("members", pa.list_(pa.int64()))]
+    kinds = [("doc_id", pa.int64()), ("n", pa.int64()), ("same", pa.binary()), ("frequent", pa.list_(pa.int64())), ("sketch", pa.binary()), ("sign", pa.binary()), ("members", pa.list_(pa.int64()))]
     if got.column("bucket")[0].as_py() < 0:
         none = pa.nulls(got.num_rows)
-        columns = [got.column(k) for k, _ in kinds[:4]] + [none.cast(t) for _, t in kinds[4:]]
+        columns = [got.column(k) for k, _ in kinds[:5]] + [none.cast(t) for _, t in kinds[5:]]
         return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
     keys = np.concatenate([np.cumsum(_numbers(x)) for x in got.column("keys").to_pylist()])
     ids = np.concatenate([*map(_numbers, got.column("ids").to_pylist())])
@@ -209,7 +238,7 @@ def _regions(got: pa.Table) -> pa.Table:
         members = ids[at : at + k]
         found[hashlib.blake2b(members.tobytes(), digest_size=16).digest()] = members
     lists = pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))
-    columns = [pa.nulls(len(found)).cast(t) for _, t in kinds[:4]] + [pa.array([*found], pa.binary()), lists]
+    columns = [pa.nulls(len(found)).cast(t) for _, t in kinds[:5]] + [pa.array([*found], pa.binary()), lists]
     return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
 
 
@@ -269,6 +298,47 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
 
 
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Of pairs (a, b) those that the sketches don't rule out."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [_may_link(x, y, m, n) for x, y, m, n in zip(*(batch.column(k).to_pylist() for k in ("x", "y", "m", "n")), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda name, z, n: sketches.select(F.col("rep").alias(name), F.col("sketch").alias(z), F.col("n").alias(n))
+    both = pairs.join(side("a", "x", "m"), "a").join(side("b", "y", "n"), "b")
+    return materialize(both.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a bigint, b bigint"), "possible")
+
+
+def _in_blocks(now: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Pairs of large regions that the sketches don't rule out: each document that
+    is apart with all others, in blocks of bounded size, of which only these come out."""
+    sizes = now.groupBy("key").agg(F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK_APART).cast("int").alias("nu"), F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("nv"))
+    rows = now.select("key", "rep", "n", "comp", "apart").join(sizes, "key").join(sketches.select("rep", "sketch"), "rep")
+    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    u = rows.where("apart").withColumn("u", deal("nu")).withColumn("v", each("nv")).withColumn("asks", F.lit(True))
+    v = rows.withColumn("v", deal("nv")).withColumn("u", each("nu")).withColumn("asks", F.lit(False))
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [np.zeros((0, 2), np.int64)]
+        pdf = pdf.assign(size=pdf["sketch"].map(len))
+        asks = pdf["asks"].to_numpy(bool)
+        for (p, x), (q, y) in ((a, b) for a in pdf[asks].groupby("size") for b in pdf[~asks].groupby("size") if a[0] <= 2 * b[0] and b[0] <= 2 * a[0]):
+            size = min(p, q)
+            left, right = (_folded(np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), -1), size).view("<u8") for z in (x, y))
+            (i, m, ci), (j, n, cj) = ((z["rep"].to_numpy(), z["n"].to_numpy(), z["comp"].to_numpy()) for z in (x, y))
+            for k in range(len(i)):
+                off = np.bitwise_count(left[k] ^ right).sum(1)
+                hit = (7 * off <= m[k] + n) & (cj != ci[k]) & (4 * np.minimum(m[k], n) >= 3 * np.maximum(m[k], n))
+                if hit.any():
+                    out.append(np.column_stack([np.maximum(i[k], j[hit]), np.minimum(i[k], j[hit])]))
+        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
+
+    return u.unionByName(v).groupBy("key", "u", "v").applyInPandas(compare, "a bigint, b bigint")
+
+
 def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
     one = classes.where("rep is not null").select("doc_id", "n", "rep").distinct()
     seldom = placed.where("members is not null").groupBy("sign").agg(F.first("members").alias("members"))
@@ -283,7 +353,9 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
 
     near = lambda m, n: 4 * F.least(m, n) >= 3 * F.greatest(m, n)
     met = regions.where("rep <> pivot").where(near("n", "pn")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    met = materialize(met, "met")
+    sketches = placed.where("members is null and sketch is not null").select(F.col("doc_id").alias("rep"), "n", "sketch").join(regions.select("rep").distinct(), "rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sketches = materialize(sketches, "sketches")
+    met = _possible(met, sketches)
     wanted = regions.select(F.col("rep").alias("doc_id")).distinct()
     texts = _compressed(docs).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("z").alias("z"))
     texts = materialize(texts, "texts")
@@ -303,14 +375,23 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
         if not left.n:
             break
         few = left.pairs <= PAIRS_FOR_EACH * max(now.count(), 65_536)
-        if not few:  # new pivots among those apart, the same in all regions as far as possible
+        large = None
+        if few:  # large regions in blocks, the others pair by pair
+            most = apart.groupBy("key").agg((F.count(F.lit(1)) * F.first("size")).alias("pairs")).where(F.col("pairs") > BLOCK_PAIRS).select("key")
+            most = materialize(most, "large")
+            large = _in_blocks(now.join(most, "key", "left_semi"), sketches).distinct()
+            apart = apart.join(most, "key", "left_anti")
+        else:  # new pivots among those apart, the same in all regions as far as possible
             rank = F.row_number().over(_first_of("key"))
             apart = apart.withColumn("k", rank).where(F.col("k") <= new).drop("k")
         u, v = apart.alias("u"), now.alias("v")
         window_fits = F.col("u.d").isNull() | F.col("v.d").isNull() | (F.abs(F.col("u.d") - F.col("v.d")) <= 1 - threshold / 100 + 1e-9)
         pairs = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & near(F.col("u.n"), F.col("v.n")) & window_fits)
-        pairs = pairs.select(F.greatest("u.rep", "v.rep").alias("a"), F.least("u.rep", "v.rep").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        compared = _compare(materialize(pairs, "pairs"), texts, threshold)
+        pairs = pairs.select(F.greatest("u.rep", "v.rep").alias("a"), F.least("u.rep", "v.rep").alias("b")).distinct()
+        pairs = _possible(pairs.join(checked, ["a", "b"], "left_anti"), sketches)
+        if large is not None:
+            pairs = materialize(pairs.unionByName(large).distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
+        compared = _compare(pairs, texts, threshold)
         found = compared.where("linked")
         if found.limit(1).count():
             comp = materialize(joined(comp, found, "a", "b"), "components")
