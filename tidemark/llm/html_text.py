@@ -396,6 +396,9 @@ def compose(rng: random.Random, mark: str = "") -> tuple[str, str]:
         return f'<{w} {rng.choice(["class", "id"])}="{rng.choice(["comments", "comment-list", "reader-comments", "discussion", "replies", "comments-area", "responses"])}">{rng.choice(["", f"<h3>{words(1, 3)}</h3>"])}{each}</{w}>'
 
     extras = [advert, share, side, form, notice, hidden, advert]
+    if rng.random() < 0.06:  # a text without any structure
+        text = prose(1, 4) if rng.random() < 0.6 else words(2, 12)
+        return rng.choice([f"{mark}{inline(text)}", f"<p>{mark}{inline(text)}", f"<html><body>{mark}{inline(text)}</body></html>", f"<div>{mark}{inline(text)}</div>"]), text
     shell = rng.choice(["article", "article", "article", "main", "div", "div", "section", "none", "both"])
     inner = body()
     if rng.random() < 0.25:
