@@ -58,6 +58,8 @@ BUCKET_KEYS, FLUSH_KEYS = 1 << 20, 1 << 20
 PAIRS_FOR_EACH = 4096
 #: Regions with more pairs left than this are compared in blocks of so many documents.
 BLOCK_PAIRS, BLOCK_APART, BLOCK_ALL = 1024, 1024, 4096
+#: Of a document that is apart in a large region so many nearest ones are compared first; what they join needs no more.
+NEAREST = 4
 #: Bits of a sketch at most; it has two to four for each shingle.
 SKETCH_BITS = 1 << 16
 
@@ -311,9 +313,10 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a bigint, b bigint"), "possible")
 
 
-def _in_blocks(now: DataFrame, sketches: DataFrame) -> DataFrame:
+def _in_blocks(now: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
     """Pairs of large regions that the sketches don't rule out: each document that
-    is apart with all others, in blocks of bounded size, of which only these come out."""
+    is apart with all others, in blocks of bounded size, of which only these come
+    out; with ``nearest`` only its :data:`NEAREST` nearest of different components."""
     sizes = now.groupBy("key").agg(F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK_APART).cast("int").alias("nu"), F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("nv"))
     rows = now.select("key", "rep", "n", "comp", "apart").join(sizes, "key").join(sketches.select("rep", "sketch"), "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
@@ -332,8 +335,13 @@ def _in_blocks(now: DataFrame, sketches: DataFrame) -> DataFrame:
             for k in range(len(i)):
                 off = np.bitwise_count(left[k] ^ right).sum(1)
                 hit = (7 * off <= m[k] + n) & (cj != ci[k]) & (4 * np.minimum(m[k], n) >= 3 * np.maximum(m[k], n))
-                if hit.any():
-                    out.append(np.column_stack([np.maximum(i[k], j[hit]), np.minimum(i[k], j[hit])]))
+                at = np.flatnonzero(hit)
+                if nearest and len(at) > 1:
+                    at = at[np.lexsort((off[at], cj[at]))]
+                    at = at[np.concatenate([[True], cj[at][1:] != cj[at][:-1]])]
+                    at = at[np.argsort(off[at], kind="stable")[:NEAREST]]
+                if len(at):
+                    out.append(np.column_stack([np.maximum(i[k], j[at]), np.minimum(i[k], j[at])]))
         return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
 
     return u.unionByName(v).groupBy("key", "u", "v").applyInPandas(compare, "a bigint, b bigint")
@@ -364,7 +372,7 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
 
     # distance of each member to its region's pivot, for the windows
     regions = materialize(regions.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d"), ["rep", "pivot"], "left").select("key", "rep", "n", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("rep") == F.col("pivot")).alias("done")), "regions")
-    new, comp = 1, materialize(components(links, "a", "b"), "components")
+    nearest, new, comp = True, 1, materialize(components(links, "a", "b"), "components")
     while True:
         now = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
         sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
@@ -375,11 +383,12 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
         if not left.n:
             break
         few = left.pairs <= PAIRS_FOR_EACH * max(now.count(), 65_536)
-        large = None
+        large, hard = None, False
         if few:  # large regions in blocks, the others pair by pair
             most = apart.groupBy("key").agg((F.count(F.lit(1)) * F.first("size")).alias("pairs")).where(F.col("pairs") > BLOCK_PAIRS).select("key")
             most = materialize(most, "large")
-            large = _in_blocks(now.join(most, "key", "left_semi"), sketches).distinct()
+            hard = bool(most.limit(1).count())
+            large = _in_blocks(now.join(most, "key", "left_semi"), sketches, nearest).distinct()
             apart = apart.join(most, "key", "left_anti")
         else:  # new pivots among those apart, the same in all regions as far as possible
             rank = F.row_number().over(_first_of("key"))
@@ -395,9 +404,12 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
         found = compared.where("linked")
         if found.limit(1).count():
             comp = materialize(joined(comp, found, "a", "b"), "components")
-        if few:
+        if few and not (nearest and hard):
             break
         checked = checked.unionByName(compared.select("a", "b"))
+        if few:  # once more, for all that the nearest have not joined
+            nearest, regions = False, materialize(now.select("key", "rep", "n", "d", "done"), "regions")
+            continue
         retired = apart.select("key", "rep", F.lit(True).alias("was"))
         regions = materialize(now.join(retired, ["key", "rep"], "left").select("key", "rep", "n", "d", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "regions")
         new *= 2
