@@ -30,7 +30,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id; of repeated rows one."""
-    classes = ngram_join.jaccard_classes(docs)
+    classes = ngram_join.jaccard_classes(docs, links=False)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = classes.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)

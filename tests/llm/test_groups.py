@@ -61,6 +61,19 @@ def test_join_edges(spark):
     assert ngram_join.jaccard_classes(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block, few", [(2048, 200), (16, 0), (16, 10**9)])
+def test_join_counts_every_link(spark, monkeypatch, block, few):
+    monkeypatch.setattr(ngram_join, "LINK_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LINK_FEW", few)
+    monkeypatch.setattr(ngram_join, "LINK_COLUMNS", 64)
+    texts = corpus()
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for k, t in texts.items() for w in [(t or "").lower().split()]}
+    want = {k: sum(j != k and 100 * len(s & x) >= 75 * len(s | x) > 0 for j, x in sets.items()) for k, s in sets.items()}
+    df = spark.createDataFrame([(k, t, 1, "r") for k, t in texts.items()] + [(0, texts[0], 1, "r")], SCHEMA).repartition(3)
+    got = {r.doc_id: r.n_links for r in ngram_join.jaccard_classes(df).collect()}
+    assert got == want and max(want.values()) == 20
+
+
 def test_sketches_never_rule_out_a_link():
     rng, hashes = random.Random(9), ngram_join.WordHasher(fold_case=True)
     for _ in range(300):

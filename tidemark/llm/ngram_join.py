@@ -25,6 +25,12 @@ whole sets are compared, odd sketches are: a bit for each part of the hash range
 that holds an odd number of shingles.  Their Hamming distance is never more than
 the sets' symmetric difference, so what it rules out is certain.
 
+*Links.*  Linked documents are in one component, so once components are known
+every pair of classes in one is compared exactly, each pair in one block of
+bounded size, and a block gives its classes' numbers of links, never pairs.  A
+class counts once for each of its documents.  The number of comparisons is
+quadratic in a component's classes; ``links=False`` leaves this part out.
+
 Hot groups: equal sets are one class before any pair is made; frequent pivots
 go through joins and pre-aggregated groups only; no group is collected that
 can grow with the data; a region is a star around pivots, never all its pairs.
@@ -63,6 +69,11 @@ NEAREST = 4
 #: Bits of a sketch at most; it has two to four for each shingle.
 SKETCH_BITS = 1 << 16
 
+#: Links are counted in blocks of about so many documents and shingles a side.
+LINK_BLOCK, LINK_SHINGLES = 2048, 1 << 20
+#: Shingles of a block that are multiplied as one matrix; those with few pairs are added up one by one.
+LINK_COLUMNS, LINK_FEW = 2048, 200
+
 _HALF = np.uint64(1 << 63)
 
 
@@ -283,8 +294,85 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, d double, linked boolean"), "compared")
 
 
-def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75) -> DataFrame:
-    """``key``, n_shingles, component_id, class_id (smallest id with an equal set)."""
+def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
+    out = np.zeros((len(left), len(right)), np.int32)
+    row, col = (np.repeat(np.arange(len(x), dtype=np.int64), [*map(len, x)]) for x in (left, right))
+    a, b = np.concatenate(left), np.concatenate(right)
+    shared = np.intersect1d(a, b)
+    if not len(shared):
+        return out
+
+    def by_shingle(values, owner):
+        at = np.minimum(np.searchsorted(shared, values), len(shared) - 1)
+        hit = shared[at] == values
+        at, owner = at[hit], owner[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], owner[order], np.bincount(at, minlength=len(shared))
+
+    (p, row, m), (q, col, n) = by_shingle(a, row), by_shingle(b, col)
+    many = LINK_FEW * m * n > out.size
+    number = np.cumsum(many) - 1
+    for at in range(0, int(many.sum()), LINK_COLUMNS):
+        x, y = np.zeros((len(left), LINK_COLUMNS), np.float32), np.zeros((LINK_COLUMNS, len(right)), np.float32)
+        i, j = (many[z] & (number[z] >= at) & (number[z] < at + LINK_COLUMNS) for z in (p, q))
+        x[row[i], number[p[i]] - at] = 1
+        y[number[q[j]] - at, col[j]] = 1
+        out += (x @ y).astype(np.int32)
+    # each owner on the left with the run of owners on the right, some at a time
+    start, few = np.cumsum(n) - n, np.flatnonzero(~many[p])
+    held = np.cumsum(n[p[few]])
+    for part in np.split(few, np.searchsorted(held, np.arange(1 << 22, held[-1], 1 << 22))) if len(few) else []:
+        k = n[p[part]]
+        step = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
+        pairs = np.repeat(row[part], k) * len(right) + col[np.repeat(start[p[part]], k) + step]
+        out += np.bincount(pairs, minlength=out.size).reshape(out.shape).astype(np.int32)
+    return out
+
+
+def _links(comp: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+    """rep and the number of documents of other classes that its documents link with."""
+    sizes = classes.where("rep is not null and doc_id is not null").groupBy("rep").agg(F.countDistinct("doc_id").alias("weight"), F.first("n").alias("n"))
+    nodes = materialize(comp.select(F.col("node").alias("rep"), "component").join(sizes, "rep"), "nodes")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / LINK_BLOCK, F.sum("n") / LINK_SHINGLES)).cast("int").alias("blocks"))
+    total = nodes.agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("n")).first()
+    # components of one block share one with others, as no documents of two components link
+    buckets = 1 + max(2 * total.m // LINK_BLOCK, 2 * (total.n or 0) // LINK_SHINGLES)
+    rows = nodes.join(blocks, "component").join(texts, "rep")
+    own = F.when(F.col("blocks") > 1, F.pmod(F.xxhash64("rep"), "blocks").cast("int")).otherwise(0)
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.when(F.col("blocks") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(buckets)))
+    rows = rows.select((F.col("blocks") > 1).alias("large"), part.alias("part"), F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "rep", "weight", "z")
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        import zstandard
+
+        hashes, plain = WordHasher(fold_case=True), zstandard.ZstdDecompressor().decompress
+        sets = [shingles(plain(z).decode("utf-8", "surrogatepass"), hashes) for z in pdf["z"]]
+        rep, weight, first = pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), (pdf["own"] == pdf["u"]).to_numpy()
+        one = pdf["u"].iloc[0] == pdf["v"].iloc[0]
+        i, j = np.flatnonzero(first), np.arange(len(rep)) if one else np.flatnonzero(~first)
+        links = np.zeros(len(rep), np.int64)
+        size = np.array([*map(len, sets)], np.int64)
+        if len(i) and len(j):
+            right = [sets[k] for k in j]
+            for at in range(0, len(i), LINK_BLOCK):
+                k = i[at : at + LINK_BLOCK]
+                both = _common([sets[x] for x in k], right)
+                linked = 100 * both.astype(np.int64) >= threshold * (size[k][:, None] + size[j][None] - both)
+                linked &= rep[k][:, None] != rep[j][None]
+                links[k] += linked @ weight[j]
+                if not one:
+                    links[j] += weight[k] @ linked
+        return pd.DataFrame({"rep": rep, "links": links})
+
+    found = rows.groupBy("large", "part", "u", "v").applyInPandas(count, "rep bigint, links bigint")
+    return materialize(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+
+
+def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75, links: bool = True) -> DataFrame:
+    """``key``, n_shingles, component_id, class_id (smallest id with an equal set)
+    and, with ``links``, n_links: the number of other documents that it links with."""
     if threshold != 75:
         raise ValueError("regions are laid out for a threshold of 75")
     docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
@@ -295,9 +383,14 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     rows = placed.where("members is null")
     first = rows.where("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     classes = materialize(rows.select("doc_id", "n", "same").join(first, "same", "left").select("doc_id", "n", "rep"), "classes")
-    found = _components(docs, placed, classes, threshold)
+    found, texts = _components(docs, placed, classes, threshold)
     out = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    return out.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id"))
+    columns = [F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"), F.coalesce("rep", "doc_id").alias("class_id")]
+    if links:
+        same = classes.where("rep is not null").groupBy("rep").agg((F.countDistinct("doc_id") - 1).alias("equal"))
+        out = out.join(same, "rep", "left").join(_links(found, texts, classes, threshold), "rep", "left")
+        columns.append((F.coalesce("equal", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"))
+    return out.select(columns)
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -347,7 +440,8 @@ def _in_blocks(now: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
     return u.unionByName(v).groupBy("key", "u", "v").applyInPandas(compare, "a bigint, b bigint")
 
 
-def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> DataFrame:
+def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Components of the classes' representatives, and the texts of all that meet another one."""
     one = classes.where("rep is not null").select("doc_id", "n", "rep").distinct()
     seldom = placed.where("members is not null").groupBy("sign").agg(F.first("members").alias("members"))
     seldom = seldom.select(F.xxhash64("sign").alias("key"), F.explode("members").alias("doc_id")).join(one, "doc_id").select("key", "rep", "n").distinct()
@@ -413,7 +507,7 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
         retired = apart.select("key", "rep", F.lit(True).alias("was"))
         regions = materialize(now.join(retired, ["key", "rep"], "left").select("key", "rep", "n", "d", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "regions")
         new *= 2
-    return comp
+    return comp, texts
 
 
 def _first_of(key: str):
