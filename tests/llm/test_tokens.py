@@ -110,3 +110,16 @@ def test_pack_table(spark):
     one = next(r for r in rows if r.doc_id == 1)
     assert (one.length, one.ids_crc32, one.doc_tokens) == (1, zlib.crc32(b"\x02\0\0\0"), 1)
     assert packing.pack(df.limit(0), lambda: packing.WordEncoder(WORD, 2)).count() == 0
+
+
+def test_step_groups_have_equal_token_counts(spark):
+    rng = random.Random(3)
+    texts = [(k, " ".join(["a"] * rng.choice([100, 400, 700, 1500, 3000, 6000]))) for k in range(1600)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(2)
+    rows = packing.pack(df, lambda: lambda part: [b"\1\0\0\0" * (len(x) // 2 + 1) for x in part]).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r.sequence_id >> 36, r.sequence_length), {}).setdefault(r.step_group, []).append(r.length)
+    tokens = [[sum(g[k]) for k in sorted(g)] for g in groups.values()]
+    assert all(n == packing.STEP_TOKENS for t in tokens for n in t[:-1]) and all(0 < t[-1] <= packing.STEP_TOKENS for t in tokens)
+    assert len({k for g in groups.values() for k in g}) == sum(map(len, tokens)) and sum(len(t) > 2 for t in tokens) >= 4

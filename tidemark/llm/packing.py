@@ -8,7 +8,10 @@ closed window is full.  At the end of a partition the open windows of shorter
 tiers fill the gap of the longest one, and what then remains open is split into
 windows of power-of-two length.  There is therefore no padding at all, whatever
 the lengths; the tiers only bound how much a short document is mixed with long
-ones.  Sequences are dealt to step groups of equal token counts.
+ones.  Sequences of one length are numbered on their own and dealt in order to
+step groups of :data:`STEP_TOKENS`, so that a step has one length and all steps
+have equal token counts; only the last group of each length in a partition may
+have fewer.
 
 Memory is bounded by one input batch and one open window for each tier.
 Sequence ids carry the partition's number, so a task that runs again gives the
@@ -36,6 +39,8 @@ TIERS = (512, 1024, 2048, 4096)
 STEP_TOKENS = 65_536
 #: Local sequence numbers below this; partition numbers above.
 _LOCAL_BITS = 36
+#: Of these a step group's number within its length; the length's rank above.
+_GROUP_BITS = 30
 
 
 class WordEncoder:
@@ -128,9 +133,15 @@ class Packer:
         self.open: dict[int, list[list]] = {t: [] for t in tiers}  # pieces [key, start, ids, doc_tokens]
         self.used = dict.fromkeys(tiers, 0)
         self.rows: list[tuple] = []
+        self.groups: list[int] = []  # the step group of each row
+        lengths = sorted({*tiers, *(1 << k for k in range(tiers[-1].bit_length()))})
+        self.ranks = {t: first | k << _GROUP_BITS for k, t in enumerate(lengths)}
+        self.closed = dict.fromkeys(lengths, 0)
 
     def _close(self, pieces: list[list], tier: int) -> None:
-        offset = 0
+        offset, group = 0, self.ranks[tier] | self.closed[tier] // max(STEP_TOKENS // tier, 1)
+        self.groups += [group] * len(pieces)
+        self.closed[tier] += 1
         for key, start, ids, n in pieces:
             self.rows.append((key, start, len(ids) // 4, ids, n, self.next, offset, tier))
             offset += len(ids) // 4
@@ -193,11 +204,9 @@ def pack(df: DataFrame, make_encoder: Callable[[], Callable[[list], list[bytes]]
         encoder, packer = make_encoder(), Packer(first, tiers)
 
         def give():
-            rows, packer.rows = packer.rows, []
+            rows, group, packer.rows, packer.groups = packer.rows, packer.groups, [], []
             cols = [*zip(*rows, strict=True)] or [[]] * 8
             ids = [zlib.crc32(x) for x in cols[3]] if digests else cols[3]
-            # sequences of one length, numbered in order, make up steps of equal token counts
-            group = [first | (s & (1 << _LOCAL_BITS) - 1) * t // STEP_TOKENS for s, t in zip(cols[5], cols[7], strict=True)]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*cols[:3], ids, *cols[4:], group], schema.types, strict=True)], schema=schema)
 
         for batch in batches:
