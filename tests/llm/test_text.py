@@ -151,3 +151,9 @@ def test_page_edges(extractor, spark):
     model = extractor.model
     assert [r.n_chars for r in html_text.extract(df, model).collect()] == [0, 0]
     assert html_text.extract(df.limit(0), model).count() == 0
+
+
+def test_abstentions_are_no_evidence():
+    good, bad, unsure = int("222222222", 3), int("220022112", 3), int("222222112", 3)
+    post = quality.fit({good: 900, bad: 100, unsure: 3})
+    assert post[good] > 0.9 and post[unsure] > 0.9 and post[bad] < 0.5

@@ -2,8 +2,8 @@
 
 Nine rules look at a text's statistics and vote good (1), bad (-1) or abstain
 (0).  Expectation-maximisation over the counts of vote patterns (3**9 at most,
-whatever the corpus) estimates how each rule votes on good and on bad texts;
-the posterior probability of good, not all-must-pass filtering, decides.
+whatever the corpus) estimates how each rule that does not abstain votes on
+good and on bad texts; an abstention is no evidence.  The posterior probability of good, not all-must-pass filtering, decides.
 
 Statistics are exact over whole texts; EM sees the counts of all of them.
 Defined cases: null and empty texts have no words and fail the base rule;
@@ -137,8 +137,9 @@ def fit(patterns: dict[int, int], rounds: int = 60) -> dict[int, float]:
         for k, p in enumerate((1 - post, post)):
             for j in range(r):
                 # a few votes of prior belief: good texts get good votes, bad texts bad ones
-                held = np.array([(weight * p)[vote[:, j] == v].sum() for v in range(3)]) + ((2.0, 1.0, 0.2) if k == 0 else (0.2, 1.0, 2.0))
-                log[:, k] += np.log(held / held.sum())[vote[:, j]]
+                held = np.array([(weight * p)[vote[:, j] == v].sum() for v in (0, 2)]) + ((2.0, 0.2) if k == 0 else (0.2, 2.0))
+                bad, good = np.log(held / held.sum())
+                log[:, k] += np.array([bad, 0, good])[vote[:, j]]  # an abstention tells nothing
         new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1] + np.log((1 - prior) / prior), -60, 60)))
         if np.abs(new - post).max() < 1e-9:
             post = new
