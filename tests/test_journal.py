@@ -110,3 +110,23 @@ def test_streams(spark, tmp_path):
     assert run(stream.groupBy().count(), "counted", "complete")[0][0] == 4
     events = run(journals.policy_events(stream, lambda: policy.SizeThreshold(1000, 200, 1, baseline=10)), "events", "append")
     assert [(os.path.basename(r.path), r.frame_no) for r in events] == [("1.journal", 1)]
+
+
+def test_stream_takes_names_in_any_order(spark, tmp_path):
+    from tidemark.sources.journal import JournalStreamReader
+
+    form = format_of("none")
+    add = lambda name: publish(f"{tmp_path}/in/{name}.journal", form.encode(pa.array([name.encode()], pa.binary()), None))
+    seen = []
+    for names in (["m", "p"], ["a"], ["n", "z"], []):
+        for name in names:
+            add(name)
+        query = spark.readStream.format("framed").load(f"{tmp_path}/in").writeStream.option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True)
+        query = query.foreachBatch(lambda df, _: seen.extend(bytes(r.payload).decode() for r in df.collect())).start()
+        query.awaitTermination(60)
+        query.stop()
+        assert sorted(seen[-len(names) :] if names else []) == names
+    assert sorted(seen) == ["a", "m", "n", "p", "z"]
+    reader = JournalStreamReader({"path": f"{tmp_path}/in"})
+    paths = lambda start, end: [p.path.rsplit("/", 1)[1][0] for p in reader.partitions(start, end)]
+    assert paths({"last": f"{tmp_path}/in/n.journal"}, reader.latestOffset()) == ["p", "z"]

@@ -136,21 +136,23 @@ class JournalReader(DataSourceReader):
 
 
 class JournalStreamReader(DataSourceStreamReader):
-    """New files of a folder, each once and whole; the offset is the last name taken, so names must ascend."""
+    """New files of a folder, each once and whole, whatever their names; the offset
+    has all names taken that are still there (``last``: of older checkpoints, all up to it)."""
 
     def __init__(self, options: dict):
         self.options = dict(options)
         self.form = _format(self.options)
 
     def initialOffset(self) -> dict:
-        return {"last": ""}
+        return {"names": []}
 
     def latestOffset(self) -> dict:
-        found = listing(self.options["path"])
-        return {"last": found[-1][0] if found else ""}
+        return {"names": [path for path, _ in listing(self.options["path"])]}
 
     def partitions(self, start: dict, end: dict) -> list[Piece]:
-        return [p for path, size in listing(self.options["path"]) if start["last"] < path <= end["last"] for p in pieces(path, size, self.form)]
+        before, upto = ((set(x.get("names", ())), x.get("last", "")) for x in (start, end))
+        taken = lambda path, offset: path in offset[0] or path <= offset[1]
+        return [p for path, size in listing(self.options["path"]) if taken(path, upto) and not taken(path, before) for p in pieces(path, size, self.form)]
 
     def read(self, partition: Piece) -> Iterator[pa.RecordBatch]:
         yield from read_piece(partition, self.form, self.options)
