@@ -157,3 +157,10 @@ def test_abstentions_are_no_evidence():
     good, bad, unsure = int("222222222", 3), int("220022112", 3), int("222222112", 3)
     post = quality.fit({good: 900, bad: 100, unsure: 3})
     assert post[good] > 0.9 and post[unsure] > 0.9 and post[bad] < 0.5
+
+
+@pytest.mark.parametrize("icon", ["<svg/>", "<math />", '<SVG class="i" width="9"/>', "<svg width=9/>hidden</svg>"])
+def test_self_closed_svg_and_math(icon):
+    page = f"<body><header>{icon}</header><p>article</p><svg><text>drawn</text></svg><math><mi>x</mi></math>end"
+    got = " ".join(x for b in html_text.walk(html_text.parse(page)) for x in b.children if isinstance(x, str))
+    assert got.split() == ["end", "article"]

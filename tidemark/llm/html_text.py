@@ -31,6 +31,8 @@ ROUNDS, DEPTH, BINS, RATE = 50, 4, 32, 0.25
 # Elements of HTML by kind.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe svg math object canvas audio video select textarea title head".split())
+#: Attributes that end in a value without quotes, to which a last slash belongs.
+_UNQUOTED = re.compile(r"=\s*[^\s\"']*/\Z")
 RAW_TEXT = frozenset("script style textarea title iframe".split())
 BLOCK = frozenset("html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul button label caption".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
@@ -143,6 +145,8 @@ def parse(page: str) -> Block:
             elif tag not in ("html", "body") and (k := find((tag,), ("table",) if tag not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot", "caption") and tag in BLOCK and tag != "div" else ())):
                 pop_to(k)
             continue
+        if tag in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
+            continue
         if tag in RAW and tag != "head":
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if end:
