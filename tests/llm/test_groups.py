@@ -40,20 +40,64 @@ def corpus():
     return dict(enumerate(texts))
 
 
-@pytest.mark.parametrize("heavy, each, block", [(1 << 18, 4096, 1024), (0, 4096, 4), (1 << 18, 0, 4)])
-def test_join_equals_brute_force(spark, monkeypatch, heavy, each, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_PAIRS", block)
-    monkeypatch.setattr(ngram_join, "BLOCK_APART", 7)
-    monkeypatch.setattr(ngram_join, "BLOCK_ALL", 30)
+@pytest.mark.parametrize("heavy, few, block, leaf", [(1 << 18, 1024, 2048, 64), (0, 4, 2048, 3), (1 << 18, 0, 9, 3), (0, 0, 2048, 2)])
+def test_join_equals_brute_force(spark, monkeypatch, heavy, few, block, leaf):
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "LEAF", leaf)
     monkeypatch.setattr(ngram_join, "HEAVY_KEYS", heavy)
     monkeypatch.setattr(ngram_join, "HEAVY_FROM", 8)
-    monkeypatch.setattr(ngram_join, "PAIRS_FOR_EACH", each)
     texts = corpus()
     df = spark.createDataFrame([(k, t, 1, "r") for k, t in texts.items()], SCHEMA).repartition(3)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df).collect()}
     assert got == ngram_join.brute_force(texts)
 
 
+def thue_morse(steps):
+    word = "a"
+    for _ in range(steps):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("steps", [3, 4, 6, 10, 12])
+def test_regular_words_do_not_collide(steps):
+    one = thue_morse(steps)
+    other = one.translate(str.maketrans("ab", "ba"))
+    for hashes in (ngram_join.WordHasher(), ngram_join.WordHasher(fold_case=True)):
+        assert hashes(one)[0] != hashes(other)[0]
+        assert not len(np.intersect1d(ngram_join.shingles(f"u {one} v w x", hashes), ngram_join.shingles(f"u {other} v w x", hashes)))
+
+
+def test_regions_divide_and_keep_links(spark):
+    """Two groups of copies in one region: pivots divide them, and the forest connects what brute force does."""
+    import pandas as pd
+    import zstandard
+
+    rng, hashes, press = random.Random(12), ngram_join.WordHasher(fold_case=True), zstandard.ZstdCompressor().compress
+    texts = {}
+    for group in range(3):
+        base = words(rng, 80)
+        for k in range(70):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(80)] = words(rng, 1)[0]
+            texts[100 * group + k] = " ".join(copy)
+    sets = {k: ngram_join.shingles(t, hashes) for k, t in texts.items()}
+    pdf = pd.DataFrame([(k, len(sets[k]), k, True, True, ngram_join.sketch(sets[k]), press(t.encode())) for k, t in texts.items()], columns=["rep", "n", "comp", "asks", "base", "sketch", "z"])
+    region, leaves = ngram_join._Region(pdf, 75), []
+    leaf = region.leaf
+    region.leaf = lambda idx: (leaves.append(len(idx)), leaf(idx))
+    ties = region.join()
+    assert len(leaves) > 1 and max(leaves) < len(texts)
+    want = ngram_join.brute_force(texts)
+    comp = {k: k for k in texts}
+    for _ in texts:
+        for a, b in ties.tolist():
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert comp == {k: c for k, (_, c) in want.items()} and len(ties) < len(texts)
+
+
 def test_join_edges(spark):
     df = spark.createDataFrame([(5, "a b c d e f", 1, ""), (5, "a b c d e f", 1, ""), (None, "a b c d e f", 1, ""), (3, "a b c d e f", 1, ""), (9, None, 1, "")], SCHEMA)
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in ngram_join.jaccard_classes(df).collect())

@@ -8,25 +8,44 @@ survive the loss of an executor.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_SHARED = "file:///tmp/checkpoints/tidemark"
+#: Bytes of the batches that go to Python workers; one row may have more.
+BATCH_BYTES = 4 << 20
 #: Entries a worker's memo of words may hold before it starts again from empty.
 MEMO_ENTRIES = 500_000
+#: Of longer texts so many bytes are looked at together.
+PIECE_BYTES = 1 << 22
 _WHITE = " \t\n\x0b\x0c\r"
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def shared_uri(spark: SparkSession, name: str) -> str:
-    """A fresh path below ``spark.checkpoint.dir`` (a default only where that is unset)."""
+    """A fresh path below ``spark.checkpoint.dir``; only a session on one machine has a default."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(base or DEFAULT_SHARED).rstrip('/')}/tidemark-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after its session has been told to hand rows to Python workers in
+    batches of at most :data:`BATCH_BYTES` (unless it has been told otherwise),
+    so that long texts don't add up in a task."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name, None) is None:
+        conf.set(name, BATCH_BYTES)
+    return df
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here."""
     spark, uri = df.sparkSession, shared_uri(df.sparkSession, name)
@@ -96,42 +115,50 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHasher:
-    """64-bit hashes of all words of a text at once, by array operations alone.
+    """64-bit hashes of all words of a text at once, by array operations.
 
-    A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``.  Each byte has a
-    random number; the running sums of these times powers of an odd number give
-    a word's polynomial as a difference, freed of its place by the inverse power."""
+    A word is a maximal run of bytes outside ``\\x20\\x09-\\x0D``.  Up to 16 bytes
+    are two whole numbers, which are mixed with the length; a longer word goes
+    through XXH3.  No sum over bytes is taken, so that no pair of words, however
+    regular, collides by construction."""
 
     def __init__(self, fold_case: bool = False):
-        rng = np.random.default_rng(20_240_229)
-        self.byte = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        if fold_case:
-            self.byte[65:91] = self.byte[97:123]
-        self.white = np.zeros(256, bool)
-        self.white[[9, 10, 11, 12, 13, 32]] = True
-        self.base = int(rng.integers(1, 1 << 62)) * 2 + 1
-        self.power = self.back = np.ones(0, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            steps = np.full(max(n, 1 << 15) * 2, self.base, np.uint64)
-            steps[0] = 1
-            self.power = np.multiply.accumulate(steps)
-            steps[1:] = pow(self.base, -1, 1 << 64)
-            self.back = np.multiply.accumulate(steps)
+        self.fold = fold_case
+        self.white = bytes(c in (9, 10, 11, 12, 13, 32) for c in range(256))
+        #: The first k of eight bytes.
+        self.mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
     def __call__(self, text: str | None) -> np.ndarray:
-        raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-        if not len(raw):
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        if len(raw) <= PIECE_BYTES:
+            return self._piece(raw)
+        cuts = [0]
+        while m := _GAP.search(raw, cuts[-1] + PIECE_BYTES):
+            cuts.append(m.end())
+        return np.concatenate([self._piece(raw[i:j]) for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)])
+
+    def _piece(self, raw: bytes) -> np.ndarray:
+        if not raw:
             return np.zeros(0, np.uint64)
-        self._powers(len(raw) + 1)
-        gap = np.ones(len(raw) + 2, bool)
-        gap[1:-1] = self.white[raw]
+        size = len(raw)
+        raw = (raw.lower() if self.fold else raw) + bytes(16)
+        gap = np.frombuffer(b"\1" + raw[:size].translate(self.white) + b"\1", bool)
         edges = np.flatnonzero(gap[1:] != gap[:-1])
         starts, ends = edges[::2], edges[1::2]
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(self.byte[raw] * self.power[: len(raw)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
+        n = ends - starts
+        eight = np.ndarray(size + 9, "<u8", raw, strides=(1,))
+        first = eight[starts]
+        first &= self.mask[np.minimum(n, 8)]
+        first += n.view(np.uint64) * np.uint64(0x9E3779B185EBCA87)
+        out = mix(first)
+        more = np.flatnonzero(n > 8)
+        if len(more):
+            rest = n[more] - 8
+            then = eight[starts[more] + 8] & self.mask[np.minimum(rest, 8)]
+            out[more] = mix(out[more] + then * np.uint64(0xC2B2AE3D27D4EB4F))
+            for k in more[rest > 8].tolist():
+                out[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : ends[k]])
+        return out
 
 
 _STEPS = np.random.default_rng(20_240_301).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -15,15 +15,22 @@ most a quarter of a document's shingles, so the partner's region is that of one
 of the document's first ``n - ceil(3n/4) + 1`` pivots: into those regions the
 document is replicated, and linked documents always meet in one of them.
 
-*Recursion.*  In a region every document is compared with a document pivot.
-Documents that are connected already need no comparison; of the rest, only
-pairs whose distances to the pivot differ by at most the threshold can link.
-If more pairs remain than :data:`PAIRS_FOR_EACH` for each document, the region
-is joined again with twice as many new pivots among the documents that are
-still apart; else all of them are compared, large regions in blocks.  Before
-whole sets are compared, odd sketches are: a bit for each part of the hash range
-that holds an odd number of shingles.  Their Hamming distance is never more than
-the sets' symmetric difference, so what it rules out is certain.
+*Recursion.*  In a region every document is first compared with a document
+pivot, the one with the smallest id, which connects most copies; what is
+connected already needs no comparison.  A region is then joined again around
+two of its own documents far from each other, as pivots of two Voronoi regions;
+the triangle inequality sends a document to both where its distances to them
+differ by at most twice the threshold, so that linked documents still meet.
+This goes on until a region has at most :data:`LEAF` documents, or pivots no
+longer divide it (documents that share one passage are equally far from each
+other).  It runs inside one task, on blocks of bounded size; a block gives a
+spanning forest of its links, never all pairs.  Regions of at most
+:data:`FEW_PAIRS` pairs are leaves from the start.
+
+*Leaves.*  All pairs of different components are compared: first by odd
+sketches, a bit for each part of the hash range that holds an odd number of
+shingles.  Their Hamming distance is never more than the sets' symmetric
+difference, so what it rules out is certain; the rest is compared as whole sets.
 
 *Links.*  Linked documents are in one component, so once components are known
 every pair of classes in one is compared exactly, each pair in one block of
@@ -50,7 +57,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WordHasher, discard, materialize, window_hashes
+from tidemark.llm.common import WordHasher, discard, materialize, small_batches, window_hashes
 from tidemark.llm.components import components, joined
 
 WIDTH = 5
@@ -59,18 +66,22 @@ HEAVY_KEYS = 1 << 18
 #: A shingle in fewer documents is never put off.
 HEAVY_FROM = 32
 #: Keys of a bucket, about, and held by a task before they are passed on.
-BUCKET_KEYS, FLUSH_KEYS = 1 << 20, 1 << 20
-#: Pairs left for each document of the regions, up to which all are compared.
-PAIRS_FOR_EACH = 4096
-#: Regions with more pairs left than this are compared in blocks of so many documents.
-BLOCK_PAIRS, BLOCK_APART, BLOCK_ALL = 1024, 1024, 4096
-#: Of a document that is apart in a large region so many nearest ones are compared first; what they join needs no more.
-NEAREST = 4
+BUCKET_KEYS, FLUSH_KEYS = 1 << 19, 1 << 19
+#: Regions with at most so many pairs are leaves; a block has many of them.
+FEW_PAIRS = 1024
+#: Documents and shingles a side of a block, about.
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+#: Documents of a region that pivots divide no further; and the share of them that a part may have at most, else it is a leaf.
+LEAF, DIVIDED = 64, 0.9
+#: Pairs of sketches that are compared at once.
+PAIRS_AT_ONCE = 1 << 14
 #: Bits of a sketch at most; it has two to four for each shingle.
 SKETCH_BITS = 1 << 16
 
 #: Links are counted in blocks of about so many documents and shingles a side.
 LINK_BLOCK, LINK_SHINGLES = 2048, 1 << 20
+#: Of these so many on the left are multiplied with all on the right at once.
+LINK_ROWS = 512
 #: Shingles of a block that are multiplied as one matrix; those with few pairs are added up one by one.
 LINK_COLUMNS, LINK_FEW = 2048, 200
 
@@ -250,7 +261,8 @@ def _regions(got: pa.Table) -> pa.Table:
     for at, k in zip(first[size > 1].tolist(), size[size > 1].tolist(), strict=True):
         members = ids[at : at + k]
         found[hashlib.blake2b(members.tobytes(), digest_size=16).digest()] = members
-    lists = pa.array([x.tolist() for x in found.values()], pa.list_(pa.int64()))
+    ends = np.cumsum([0, *map(len, found.values())]).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.int64), *found.values()])))
     columns = [pa.nulls(len(found)).cast(t) for _, t in kinds[:5]] + [pa.array([*found], pa.binary()), lists]
     return pa.Table.from_arrays(columns, schema=pa.schema(kinds))
 
@@ -270,7 +282,7 @@ def _compressed(docs: DataFrame) -> DataFrame:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """a, b, distance and linked of pairs, from the whole texts."""
+    """a, b and linked of pairs, from the whole texts."""
 
     def run(batches):
         import zstandard
@@ -278,20 +290,19 @@ def _compare(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
         hashes, last, b_set, plain = WordHasher(fold_case=True), None, None, zstandard.ZstdDecompressor().decompress
         text = lambda z: plain(z).decode("utf-8", "surrogatepass")
         for batch in batches:
-            d, linked = [], []
+            linked = []
             for x, y, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if b != last:
                     last, b_set = b, shingles(text(y), hashes)
                 a_set = shingles(text(x), hashes)
                 both = len(np.intersect1d(a_set, b_set, assume_unique=True))
                 union = len(a_set) + len(b_set) - both
-                d.append(1 - both / union if union else 1.0)
                 linked.append(bool(union) and 100 * both >= threshold * union)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], ["a", "b", "d", "linked"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     left = pairs.join(texts.select(F.col("rep").alias("a"), F.col("z").alias("x")), "a")
     both = left.join(texts.select(F.col("rep").alias("b"), F.col("z").alias("y")), "b")
-    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, d double, linked boolean"), "compared")
+    return materialize(both.select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint, linked boolean"), "compared")
 
 
 def _common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -356,8 +367,8 @@ def _links(comp: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int
         size = np.array([*map(len, sets)], np.int64)
         if len(i) and len(j):
             right = [sets[k] for k in j]
-            for at in range(0, len(i), LINK_BLOCK):
-                k = i[at : at + LINK_BLOCK]
+            for at in range(0, len(i), LINK_ROWS):
+                k = i[at : at + LINK_ROWS]
                 both = _common([sets[x] for x in k], right)
                 linked = 100 * both.astype(np.int64) >= threshold * (size[k][:, None] + size[j][None] - both)
                 linked &= rep[k][:, None] != rep[j][None]
@@ -375,7 +386,7 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
     and, with ``links``, n_links: the number of other documents that it links with."""
     if threshold != 75:
         raise ValueError("regions are laid out for a threshold of 75")
-    docs = df.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    docs = small_batches(df).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = int(np.clip(np.ceil(np.log2(max(chars / 8 / BUCKET_KEYS, 1))), 5, 24))
     placed = materialize(_place(docs, bits, _heavy(docs, bits, HEAVY_KEYS)), "placed")
@@ -406,38 +417,149 @@ def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return materialize(both.select("a", "b", "x", "y", "m", "n").mapInArrow(run, "a bigint, b bigint"), "possible")
 
 
-def _in_blocks(now: DataFrame, sketches: DataFrame, nearest: bool) -> DataFrame:
-    """Pairs of large regions that the sketches don't rule out: each document that
-    is apart with all others, in blocks of bounded size, of which only these come
-    out; with ``nearest`` only its :data:`NEAREST` nearest of different components."""
-    sizes = now.groupBy("key").agg(F.ceil(F.count(F.when(F.col("apart"), 1)) / BLOCK_APART).cast("int").alias("nu"), F.ceil(F.count(F.lit(1)) / BLOCK_ALL).cast("int").alias("nv"))
+def _sketches(rows: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each size of sketches: which rows have that size or twice it, and their sketches at that size."""
+    size = rows.map(len).to_numpy(np.int64)
+    out = {}
+    for k in np.unique(size).tolist():
+        at = np.flatnonzero((size == k) | (size == 2 * k))
+        bits = np.zeros((len(at), k), np.uint8)
+        for z in (k, 2 * k):
+            own = size[at] == z
+            if own.any():
+                bits[own] = _folded(np.frombuffer(b"".join(rows.iloc[at[own]]), np.uint8).reshape(-1, z), k)
+        out[k] = at, bits.view("<u8")
+    return out
+
+
+def _pairs(pdf: pd.DataFrame) -> np.ndarray:
+    """Of small regions (``key``) the pairs, one of them apart, that may link."""
+    pdf = pdf.sort_values("key", kind="stable", ignore_index=True)
+    key, rep, n, comp, apart = (pdf[k].to_numpy() for k in ("key", "rep", "n", "comp", "apart"))
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    size = np.diff(np.append(first, len(key)))
+    start, size = np.repeat(first, size), np.repeat(size, size)
+    asks = np.flatnonzero(apart)
+    i = np.repeat(asks, size[asks])
+    j = np.arange(len(i)) - np.repeat(np.cumsum(size[asks]) - size[asks], size[asks]) + start[i]
+    some = (comp[i] != comp[j]) & (4 * np.minimum(n[i], n[j]) >= 3 * np.maximum(n[i], n[j])) & (~apart[j] | (i < j))
+    i, j = i[some], j[some]
+    lengths = pdf["sketch"].map(len).to_numpy(np.int64)
+    out = [np.zeros((0, 2), np.int64)]
+    for k, (at, bits) in _sketches(pdf["sketch"]).items():
+        place = np.full(len(pdf), -1)
+        place[at] = np.arange(len(at))
+        own = np.flatnonzero((np.minimum(lengths[i], lengths[j]) == k) & (np.maximum(lengths[i], lengths[j]) <= 2 * k))
+        for part in np.split(own, range(PAIRS_AT_ONCE, len(own), PAIRS_AT_ONCE)):
+            x, y = i[part], j[part]
+            off = np.bitwise_count(bits[place[x]] ^ bits[place[y]]).sum(1, dtype=np.int64)
+            hit = 7 * off <= n[x] + n[y]
+            out.append(np.column_stack([rep[x[hit]], rep[y[hit]]]))
+    return np.concatenate(out)
+
+
+class _Region:
+    """A block of a large region: documents on one side (``asks``, all apart) are
+    joined with those on the other (``base``); a document may be on both."""
+
+    def __init__(self, pdf: pd.DataFrame, threshold: int):
+        import zstandard
+
+        pdf = pdf.groupby("rep", as_index=False).agg({"n": "first", "comp": "first", "asks": "max", "base": "max", "sketch": "first", "z": "first"})
+        self.rep, self.n, self.comp, self.asks, self.base = (pdf[k].to_numpy() for k in ("rep", "n", "comp", "asks", "base"))
+        self.comp = self.comp.copy()
+        self.lengths, self.sketches, self.z = pdf["sketch"].map(len).to_numpy(np.int64), _sketches(pdf["sketch"]), pdf["z"].tolist()
+        self.place = {k: np.full(len(pdf), -1) for k in self.sketches}
+        for k, (at, _) in self.sketches.items():
+            self.place[k][at] = np.arange(len(at))
+        self.sets: list = [None] * len(pdf)
+        self.hashes, self.plain = WordHasher(fold_case=True), zstandard.ZstdDecompressor().decompress
+        self.threshold, self.ties = threshold, []
+
+    def set(self, i: int) -> np.ndarray:
+        if self.sets[i] is None:
+            self.sets[i], self.z[i] = shingles(self.plain(self.z[i]).decode("utf-8", "surrogatepass"), self.hashes), None
+        return self.sets[i]
+
+    def both(self, i: int, j: int) -> int:
+        x, y = self.set(i), self.set(j)
+        return int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+
+    def distances(self, i: int, others: np.ndarray) -> np.ndarray:
+        both = np.array([self.both(i, j) for j in others.tolist()])
+        return 1 - both / (self.n[i] + self.n[others] - both)
+
+    def leaf(self, idx: np.ndarray) -> None:
+        for i in idx[self.asks[idx]].tolist():
+            mine = self.lengths[i]
+            # a pair of documents that are on both sides comes up once
+            some = idx[(self.base[idx] & ~(self.asks[idx] & self.base[i] & (idx < i))) & (self.comp[idx] != self.comp[i]) & (4 * np.minimum(self.n[idx], self.n[i]) >= 3 * np.maximum(self.n[idx], self.n[i]))]
+            found, offs = [], []
+            for k in (mine, mine // 2):
+                if k not in self.sketches:
+                    continue
+                j = some[(self.lengths[some] >= mine) & (self.lengths[some] <= 2 * mine) if k == mine else self.lengths[some] == k]
+                bits = self.sketches[k][1]
+                off = np.bitwise_count(bits[self.place[k][i]] ^ bits[self.place[k][j]]).sum(1, dtype=np.int64)
+                hit = 7 * off <= self.n[i] + self.n[j]
+                found.append(j[hit])
+                offs.append(off[hit])
+            j, off = np.concatenate(found), np.concatenate(offs)
+            j = j[np.argsort(off, kind="stable")]
+            while len(j):
+                near, j = int(j[0]), j[1:]
+                both = self.both(i, near)
+                if 100 * both >= self.threshold * (self.n[i] + self.n[near] - both):
+                    self.ties.append((self.rep[i], self.rep[near]))
+                    self.comp[self.comp == self.comp[near]] = self.comp[i]
+                    j = j[self.comp[j] != self.comp[i]]
+
+    def join(self) -> np.ndarray:
+        """Links that connect whatever the block's links connect."""
+        todo = [np.arange(len(self.rep))]
+        while todo:
+            idx = todo.pop()
+            if not self.asks[idx].any() or not self.base[idx].any():
+                continue
+            if len(idx) > LEAF:
+                one = self.distances(idx[0], idx)
+                two = self.distances(idx[int(one.argmax())], idx)
+                reach = 2 * (1 - self.threshold / 100) + 1e-9
+                parts = idx[one <= two + reach], idx[two <= one + reach]
+                if max(map(len, parts)) <= DIVIDED * len(idx):
+                    todo += parts
+                    continue
+            self.leaf(idx)
+        return np.array(self.ties, np.int64).reshape(-1, 2)
+
+
+def _regions_joined(now: DataFrame, sketches: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """(a, b, linked) of regions' documents: links of large regions that connect
+    whatever their links connect, and of small ones the pairs to be compared yet."""
+    asks = F.col("apart")
+    size = lambda c: F.greatest(F.count(F.when(c, 1)) / BLOCK, F.sum(F.when(c, F.col("n"))) / BLOCK_SHINGLES)
+    sizes = now.groupBy("key").agg(F.ceil(size(asks)).cast("int").alias("nu"), F.ceil(size(F.lit(True))).cast("int").alias("nv"), (F.count(F.when(asks, 1)) * F.count(F.lit(1)) > FEW_PAIRS).alias("large"))
+    sizes = materialize(sizes.where("nu > 0"), "sizes")
     rows = now.select("key", "rep", "n", "comp", "apart").join(sizes, "key").join(sketches.select("rep", "sketch"), "rep")
+    few = rows.where("not large").select("key", "rep", "n", "comp", "apart", "sketch")
+    buckets = 1 + 2 * now.join(sizes.where("not large"), "key", "left_semi").count() // BLOCK
+
+    def small(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _pairs(pdf)
+        return pd.DataFrame({"a": np.maximum(got[:, 0], got[:, 1]), "b": np.minimum(got[:, 0], got[:, 1]), "linked": False})
+
+    def large(pdf: pd.DataFrame) -> pd.DataFrame:
+        got = _Region(pdf, threshold).join()
+        return pd.DataFrame({"a": got[:, 0], "b": got[:, 1], "linked": True})
+
+    out = few.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("part").applyInPandas(small, "a bigint, b bigint, linked boolean")
+    most = rows.where("large").join(texts, "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    u = rows.where("apart").withColumn("u", deal("nu")).withColumn("v", each("nv")).withColumn("asks", F.lit(True))
-    v = rows.withColumn("v", deal("nv")).withColumn("u", each("nu")).withColumn("asks", F.lit(False))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [np.zeros((0, 2), np.int64)]
-        pdf = pdf.assign(size=pdf["sketch"].map(len))
-        asks = pdf["asks"].to_numpy(bool)
-        for (p, x), (q, y) in ((a, b) for a in pdf[asks].groupby("size") for b in pdf[~asks].groupby("size") if a[0] <= 2 * b[0] and b[0] <= 2 * a[0]):
-            size = min(p, q)
-            left, right = (_folded(np.frombuffer(b"".join(z["sketch"]), np.uint8).reshape(len(z), -1), size).view("<u8") for z in (x, y))
-            (i, m, ci), (j, n, cj) = ((z["rep"].to_numpy(), z["n"].to_numpy(), z["comp"].to_numpy()) for z in (x, y))
-            for k in range(len(i)):
-                off = np.bitwise_count(left[k] ^ right).sum(1)
-                hit = (7 * off <= m[k] + n) & (cj != ci[k]) & (4 * np.minimum(m[k], n) >= 3 * np.maximum(m[k], n))
-                at = np.flatnonzero(hit)
-                if nearest and len(at) > 1:
-                    at = at[np.lexsort((off[at], cj[at]))]
-                    at = at[np.concatenate([[True], cj[at][1:] != cj[at][:-1]])]
-                    at = at[np.argsort(off[at], kind="stable")[:NEAREST]]
-                if len(at):
-                    out.append(np.column_stack([np.maximum(i[k], j[at]), np.minimum(i[k], j[at])]))
-        return pd.DataFrame(np.concatenate(out), columns=["a", "b"])
-
-    return u.unionByName(v).groupBy("key", "u", "v").applyInPandas(compare, "a bigint, b bigint")
+    u = most.where(asks).withColumn("u", deal("nu")).withColumn("v", each("nv")).withColumn("asks", F.lit(True)).withColumn("base", F.lit(False))
+    v = most.withColumn("v", deal("nv")).withColumn("u", each("nu")).withColumn("asks", F.lit(False)).withColumn("base", F.lit(True))
+    blocks = u.unionByName(v).select("key", "u", "v", "rep", "n", "comp", "asks", "base", "sketch", "z")
+    return materialize(out.unionByName(blocks.groupBy("key", "u", "v").applyInPandas(large, "a bigint, b bigint, linked boolean")), "joined")
 
 
 def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -462,58 +584,19 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
     texts = _compressed(docs).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("z").alias("z"))
     texts = materialize(texts, "texts")
     compared = _compare(met, texts, threshold)
-    links, checked = compared.where("linked").select("a", "b"), compared.select("a", "b")
-
-    # distance of each member to its region's pivot, for the windows
-    regions = materialize(regions.join(compared.select(F.col("a").alias("rep"), F.col("b").alias("pivot"), "d"), ["rep", "pivot"], "left").select("key", "rep", "n", F.when(F.col("rep") == F.col("pivot"), 0.0).otherwise(F.col("d")).alias("d"), (F.col("rep") == F.col("pivot")).alias("done")), "regions")
-    nearest, new, comp = True, 1, materialize(components(links, "a", "b"), "components")
-    while True:
-        now = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-        sizes = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
-        main = sizes.groupBy("key").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"), F.sum("m").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        now = materialize(now.join(main, "key").withColumn("apart", (F.col("comp") != F.col("main")) & ~F.col("done")), "apart")
-        apart = now.where("apart")
-        left = apart.agg(F.sum("size").alias("pairs"), F.count(F.lit(1)).alias("n")).first()
-        if not left.n:
-            break
-        few = left.pairs <= PAIRS_FOR_EACH * max(now.count(), 65_536)
-        large, hard = None, False
-        if few:  # large regions in blocks, the others pair by pair
-            most = apart.groupBy("key").agg((F.count(F.lit(1)) * F.first("size")).alias("pairs")).where(F.col("pairs") > BLOCK_PAIRS).select("key")
-            most = materialize(most, "large")
-            hard = bool(most.limit(1).count())
-            large = _in_blocks(now.join(most, "key", "left_semi"), sketches, nearest).distinct()
-            apart = apart.join(most, "key", "left_anti")
-        else:  # new pivots among those apart, the same in all regions as far as possible
-            rank = F.row_number().over(_first_of("key"))
-            apart = apart.withColumn("k", rank).where(F.col("k") <= new).drop("k")
-        u, v = apart.alias("u"), now.alias("v")
-        window_fits = F.col("u.d").isNull() | F.col("v.d").isNull() | (F.abs(F.col("u.d") - F.col("v.d")) <= 1 - threshold / 100 + 1e-9)
-        pairs = u.join(v, (F.col("u.key") == F.col("v.key")) & (F.col("u.comp") != F.col("v.comp")) & near(F.col("u.n"), F.col("v.n")) & window_fits)
-        pairs = pairs.select(F.greatest("u.rep", "v.rep").alias("a"), F.least("u.rep", "v.rep").alias("b")).distinct()
-        pairs = _possible(pairs.join(checked, ["a", "b"], "left_anti"), sketches)
-        if large is not None:
-            pairs = materialize(pairs.unionByName(large).distinct().join(checked, ["a", "b"], "left_anti"), "pairs")
-        compared = _compare(pairs, texts, threshold)
-        found = compared.where("linked")
-        if found.limit(1).count():
-            comp = materialize(joined(comp, found, "a", "b"), "components")
-        if few and not (nearest and hard):
-            break
-        checked = checked.unionByName(compared.select("a", "b"))
-        if few:  # once more, for all that the nearest have not joined
-            nearest, regions = False, materialize(now.select("key", "rep", "n", "d", "done"), "regions")
-            continue
-        retired = apart.select("key", "rep", F.lit(True).alias("was"))
-        regions = materialize(now.join(retired, ["key", "rep"], "left").select("key", "rep", "n", "d", (F.col("done") | F.coalesce("was", F.lit(False))).alias("done")), "regions")
-        new *= 2
-    return comp, texts
-
-
-def _first_of(key: str):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(key).orderBy("rep")
+    links = compared.where("linked").select("a", "b")
+
+    comp = materialize(components(links, "a", "b"), "components")
+    now = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+    parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    # a region's pivot has been compared with all of it
+    apart = (F.col("comp") != F.col("main")) & (F.col("rep") != F.col("pivot"))
+    now = materialize(now.join(main, "key").select("key", "rep", "n", "comp", apart.alias("apart")), "apart")
+    joins = _regions_joined(now, sketches, texts, threshold)
+    left = _compare(joins.where("not linked").select("a", "b").distinct(), texts, threshold)
+    found = joins.where("linked").select("a", "b").unionByName(left.where("linked").select("a", "b"))
+    return materialize(joined(comp, found, "a", "b"), "components"), texts
 
 
 def brute_force(texts: dict[int, str | None], threshold: int = 75) -> dict[int, tuple[int, int]]:

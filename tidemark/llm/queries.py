@@ -39,8 +39,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.ngram_join import jaccard_classes
 
-    # links are counted as well, though the contract has no column for them
-    return jaccard_classes(table(spark, sf_dir, "documents"), threshold=75).drop("class_id", "n_links")
+    return jaccard_classes(table(spark, sf_dir, "documents"), threshold=75)
 
 
 HELD_OUT = "crc32(cast(doc_id as string)) % 3 = 1"
@@ -114,7 +113,10 @@ _SQL = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
         p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
         l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
-    """ + _REACH + "SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN n USING (doc_id) JOIN c ON c.id = d.doc_id",
+    """ + _REACH + """, m AS (SELECT u, count(*) AS n FROM e GROUP BY u),
+        q AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY whole) AS class_id FROM (SELECT doc_id, md5(string_agg(g, chr(10) ORDER BY g)) AS whole FROM s GROUP BY doc_id))
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id, coalesce(q.class_id, d.doc_id) AS class_id, coalesce(m.n, 0) AS n_links
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN q USING (doc_id) LEFT JOIN m ON m.u = d.doc_id JOIN c ON c.id = d.doc_id""",
     "op3_embedding_dedup": """
         WITH RECURSIVE ids AS (SELECT vec_id AS id FROM embeddings),
         x AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda q: q IS NULL OR isnan(q) OR isinf(q))) = 0 AND len(list_filter(embedding, lambda q: q <> 0)) > 0),
