@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, materialize, shared_uri
+from tidemark.llm.common import Memo, materialize, shared_uri, small_batches
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -253,7 +253,7 @@ def frequent_words(df: DataFrame, tokenizer: str, text: str = "text", top: int =
                     yield give()
         yield give()
 
-    counts = df.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = small_batches(df).select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialize(counts, "words")
     # the least count whose words still fit, from a histogram, so that no more than ``top`` words reach the driver
     size = F.floor(F.log2("n") * 16).cast("int")

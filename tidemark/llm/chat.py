@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 #: Opening and closing mark of each role; another role is written out between the last two.
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 ROLE, TEXT, END = "<|role|>", "<|text|>", "<|end|>"
@@ -127,5 +129,5 @@ def digests(turns: DataFrame) -> DataFrame:
         close()
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
 
-    sorted_turns = turns.select("conv_id", "formatted", "loss_from", "loss_to", "start_char").repartition("conv_id").sortWithinPartitions("conv_id", "start_char")
+    sorted_turns = small_batches(turns).select("conv_id", "formatted", "loss_from", "loss_to", "start_char").repartition("conv_id").sortWithinPartitions("conv_id", "start_char")
     return sorted_turns.drop("start_char").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")

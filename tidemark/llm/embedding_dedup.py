@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize
+from tidemark.llm.common import materialize, small_batches
 from tidemark.llm.components import components
 
 THRESHOLD = 0.9
@@ -122,8 +122,7 @@ def _ties(q: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def near_links(df: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id", vector: str = "embedding", recall: float = TARGET_RECALL) -> DataFrame:
     """``key``, n_links, component_id, kept: one row for each row of ``df``."""
-    spark = df.sparkSession
-    df = df.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    df = small_batches(df).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"))
     top = df.where("v is not null").groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     dim = top.n if top else 0
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -138,7 +137,6 @@ def near_links(df: DataFrame, threshold: float = THRESHOLD, key: str = "vec_id",
         out = joined.select("id", found.cast("bigint").alias("n_links"), F.coalesce("component", "rep", "id").alias("component_id"))
     else:
         out = rows.select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("component_id"))
-    assert spark is not None
     return out.select(F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

@@ -451,7 +451,7 @@ def fit(pages: int = FIT_PAGES, seed: int = 11) -> Boosted:
 
 def extract(df: DataFrame, model: Boosted | None = None, key: str = "page_id", html: str = "html") -> DataFrame:
     """``key``, url, text and n_chars of every page."""
-    from tidemark.llm.common import over_rows
+    from tidemark.llm.common import over_rows, small_batches
 
     model = model or fit()
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
@@ -465,5 +465,5 @@ def extract(df: DataFrame, model: Boosted | None = None, key: str = "page_id", h
 
         return work
 
-    rows = df.select(F.col(key).cast("bigint").alias("page_id"), "url", F.col(html).alias("html"))
+    rows = small_batches(df).select(F.col(key).cast("bigint").alias("page_id"), "url", F.col(html).alias("html"))
     return rows.mapInArrow(over_rows(["page_id", "url", "html"], schema, make), "page_id bigint, url string, text string, n_chars bigint")

@@ -19,10 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import small_batches
+
 #: N-grams in a profile, and of a document that are compared.
 PROFILE = 400
 #: Documents of each language to fit on, about (the bound of the fit's sample).
 FIT_DOCS = 2_000
+#: Characters that are counted together.
+PIECE_CHARS = 1 << 18
 
 _letters: np.ndarray | None = None
 
@@ -34,23 +38,35 @@ def _letter_table() -> np.ndarray:
     return _letters
 
 
+def _counted(found: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and how often each occurs (or the sum of its counts)."""
+    if counts is None:
+        found.sort()
+    else:
+        order = np.argsort(found, kind="stable")
+        found, counts = found[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
+    return found[first], np.diff(np.append(first, len(found))) if counts is None else np.add.reduceat(counts, first) if len(first) else counts
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams as numbers (21 bits a character) and their counts."""
-    empty = np.zeros(0, np.int64)
-    if not text:
-        return empty, empty
-    c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    c = np.where(_letter_table()[c], c, 0).astype(np.int64)
-    c = np.concatenate([[0], c, [0]])
-    c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
-    if len(c) < 3:
-        return empty, empty
-    two = c[:-1] << 21 | c[1:]
-    three = (two[:-1] << 21 | c[2:])[c[1:-1] != 0]
-    found = np.concatenate([c[c != 0], two, three])
-    found.sort()
-    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
-    return found[first], np.diff(np.append(first, len(found)))
+    """Distinct n-grams as numbers (21 bits a character) and their counts; long
+    texts are counted piece by piece."""
+    low, held, last = (text or "").lower(), [], np.zeros(1, np.int64)
+    for at in range(0, len(low), PIECE_CHARS):
+        c = np.frombuffer(low[at : at + PIECE_CHARS].encode("utf-32-le", "surrogatepass"), np.uint32)
+        c = np.where(_letter_table()[c], c, 0).astype(np.int64)
+        c = np.concatenate([last, c, [0] if at + PIECE_CHARS >= len(low) else []]).astype(np.int64)
+        c = c[np.concatenate([[True], (c[1:] != 0) | (c[:-1] != 0)])]
+        new = len(last)  # n-grams that end in an earlier piece have been counted
+        one, two = c[new:], c[new - 1 : -1] << 21 | c[new:]
+        middle = max(new - 1, 1)
+        three = (c[middle - 1 : -2] << 42 | c[middle:-1] << 21 | c[middle + 1 :])[c[middle:-1] != 0]
+        held.append(_counted(np.concatenate([one[one != 0], two, three])))
+        last = c[-2:]
+    if len(held) < 2:
+        return held[0] if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return _counted(*map(np.concatenate, zip(*held, strict=True)))
 
 
 def ranking(found: np.ndarray, counts: np.ndarray, top: int = PROFILE) -> np.ndarray:
@@ -84,7 +100,7 @@ class Profiles:
 
 def fit(df: DataFrame, label: str = "lang", key: str = "doc_id", text: str = "text", fit_docs: int = FIT_DOCS) -> Profiles:
     """Profiles from rows with a label; the sample's share follows from the labels' counts."""
-    df = df.where(F.col(label).isNotNull() & F.col(text).isNotNull())
+    df = small_batches(df).where(F.col(label).isNotNull() & F.col(text).isNotNull())
     sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
     if not sizes:
         return Profiles({})
@@ -131,4 +147,4 @@ def keep_known(df: DataFrame, profiles: Profiles, least_score: float, text: str
                 yield part.filter(pa.array([lang != "und" and score >= least_score for lang, score in found]))
 
     names = df.columns
-    return df.mapInArrow(run, df.schema)
+    return small_batches(df).mapInArrow(run, df.schema)

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MEMO_ENTRIES
+from tidemark.llm.common import MEMO_ENTRIES, small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group: as many sequences of a tier as make this up.
@@ -218,4 +218,4 @@ def pack(df: DataFrame, make_encoder: Callable[[], Callable[[list], list[bytes]]
         packer.finish()
         yield give()
 
-    return df.select(F.col(key).cast("bigint").alias(key), F.col(text)).mapInArrow(run, f"{key} bigint, " + ", ".join(f"{n} {s}" for n, s, _ in fields))
+    return small_batches(df).select(F.col(key).cast("bigint").alias(key), F.col(text)).mapInArrow(run, f"{key} bigint, " + ", ".join(f"{n} {s}" for n, s, _ in fields))

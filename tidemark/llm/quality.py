@@ -13,12 +13,12 @@ repeated rows each count; an empty table gives no rows.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.llm.common import WordHasher, materialize, white_chars, window_hashes
+from tidemark.llm.common import PIECE_BYTES, WordHasher, materialize, small_batches, white_chars, window_hashes
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -40,9 +40,6 @@ KEEP_FROM = 0.5
 _KINDS = [(k, pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_digits", "n_kinds")]
 
 
-_hashes = WordHasher()
-
-
 def text_stats(text: str | None, hashes: WordHasher) -> tuple[int, ...]:
     """The statistics in the order of the columns that :func:`stats` gives."""
     h = hashes(text)
@@ -62,10 +59,12 @@ def text_stats(text: str | None, hashes: WordHasher) -> tuple[int, ...]:
             for k in range(WINDOW):
                 covered[k : k + len(twice)] |= twice
             repeat = int(covered.sum())
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    low = raw | 32
-    digits = int(((raw >= 48) & (raw <= 57)).sum())
-    letters = int(((low >= 97) & (low <= 122) | (raw >= 0xC0)).sum())
+    digits = letters = 0
+    for at in range(0, len(text), PIECE_BYTES):
+        raw = np.frombuffer(text[at : at + PIECE_BYTES].encode("utf-32-le", "surrogatepass"), np.uint32)
+        low = raw | 32
+        digits += int(((raw >= 48) & (raw <= 57)).sum())
+        letters += int(((low >= 97) & (low <= 122) | (raw >= 0xC0)).sum())
     return n, len(text) - white_chars(text), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, len(lines), letters, digits, len(np.unique(h))
 
 
@@ -79,17 +78,6 @@ def stats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return _mapped(df, key, text, _KINDS, make)
 
 
-def stats_column(text: str) -> Column:
-    """The statistics of a column of texts as one struct, beside all other columns."""
-    kind = "struct<" + ", ".join(f"{k}: bigint" for k, _ in _KINDS) + ">"
-
-    @F.pandas_udf(kind)
-    def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([text_stats(x, _hashes) for x in texts], columns=[k for k, _ in _KINDS], dtype="int64")
-
-    return of(F.col(text))
-
-
 def _measures(of: str = "") -> dict[str, Column]:
     col = lambda name: F.col(of + name)
     share = lambda a, b: col(a) / F.greatest(col(b), F.lit(1))
@@ -155,11 +143,24 @@ def posterior(seen: DataFrame, name: str) -> DataFrame:
 
 
 def keep_good(df: DataFrame, text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:
-    """The rows that pass, with all their columns and without a shuffle of texts."""
-    seen = df.select(F.col(text).alias("text")).withColumn("s", stats_column("text")).select(votes("s.").alias("votes"))
-    good = posterior(seen, "votes").where(F.col("quality") >= keep_from).withColumnRenamed("votes", "__votes").drop("quality")
-    held = df.withColumn("__stats", stats_column(text)).withColumn("__votes", votes("__stats."))
-    return held.where(~base_failed("__stats.")).join(F.broadcast(good), "__votes", "left_semi").drop("__stats", "__votes")
+    """The rows that pass, with all their columns and without a shuffle of texts.
+    Statistics are computed once, beside the rows, which are written with their votes."""
+    tag = next(t for k in range(2, 100) if not any(c.startswith(t := "_" * k + "quality_") for c in df.columns))
+    at, names = df.columns.index(text), [tag + k for k, _ in _KINDS]
+
+    def run(batches):
+        hashes = WordHasher()
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                found = zip(*[text_stats(x, hashes) for x in part.column(at).to_pylist()], strict=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.int64()) for x in found)], [*part.schema.names, *names])
+
+    schema = StructType([*df.schema.fields, *(StructField(x, LongType()) for x in names)])
+    seen = small_batches(df).mapInArrow(run, schema).withColumn(f"{tag}votes", votes(tag)).withColumn(f"{tag}failed", base_failed(tag)).drop(*names)
+    seen = materialize(seen, "judged")
+    good = posterior(seen, f"{tag}votes").where(F.col("quality") >= keep_from).drop("quality")
+    return seen.where(~F.col(f"{tag}failed")).join(F.broadcast(good), f"{tag}votes", "left_semi").select(df.columns)
 
 
 def judge(df: DataFrame, key: str = "doc_id", text: str = "text", keep_from: float = KEEP_FROM) -> DataFrame:

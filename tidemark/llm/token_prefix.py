@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MEMO_ENTRIES, Memo, over_rows
+from tidemark.llm.common import MEMO_ENTRIES, Memo, over_rows, small_batches
 
 MARK = "▁"
 #: A unit: space marks, other characters that are no letters, letters.  No piece goes on after a letter with anything but a letter.
@@ -160,10 +160,9 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "
 
 def _mapped(df: DataFrame, key: str, text: str, kinds: list, make) -> DataFrame:
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
-    from pyspark.sql.types import LongType, StructField, StructType
+    from pyspark.sql.types import StructField, StructType
 
     kind = df.schema[key].dataType
     schema = pa.schema([(key, to_arrow_type(kind)), *kinds])
     out = StructType([StructField(key, kind), *from_arrow_schema(schema).fields[1:]])
-    assert isinstance(kind, LongType) or kind is not None
-    return df.select(F.col(key), F.col(text)).mapInArrow(over_rows([key, text], schema, make), out)
+    return small_batches(df).select(F.col(key), F.col(text)).mapInArrow(over_rows([key, text], schema, make), out)

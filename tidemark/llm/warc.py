@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_uri
+from tidemark.llm.common import materialize, shared_uri, small_batches
 
 #: Payload bytes of a shard, about; compressed bytes after which a file is rolled.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 64 << 20
@@ -73,7 +73,7 @@ def _bounds(pages: DataFrame) -> np.ndarray:
 
 def write_archive(df: DataFrame, out: str, key: str = "page_id", url: str = "url", html: str = "html", revisit_from: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write the archive below ``out``; gives its manifest (also at ``out/manifest``)."""
-    pages = df.select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
+    pages = small_batches(df).select(F.col(key).cast("bigint").alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     bounds = _bounds(pages)
     known = pages.where(F.length("payload") >= revisit_from).select("page_id", F.sha1("payload").alias("same"))
     first = known.groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1")
