@@ -55,10 +55,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that nothing will read again."""
-    uri = getattr(df, "_tidemark_uri", None)
-    if uri:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that nothing will read again."""
+    for df in tables:
+        uri = getattr(df, "_tidemark_uri", None)
+        if not uri:
+            continue
         jvm, jsc = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
         path = jvm.org.apache.hadoop.fs.Path(uri)
         path.getFileSystem(jsc.hadoopConfiguration()).delete(path, True)

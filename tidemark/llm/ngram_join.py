@@ -184,7 +184,9 @@ def _heavy(docs: DataFrame, bits: int, most: int) -> np.ndarray:
         room, least = room - n, size
     if least is None:
         return np.zeros(0, np.int64)
-    return np.sort(np.array([r.number for r in found.where(F.floor(F.log2("n") * 8) >= least).select("number").collect()], np.int64))
+    numbers = [r.number for r in found.where(F.floor(F.log2("n") * 8) >= least).select("number").collect()]
+    discard(found)
+    return np.sort(np.array(numbers, np.int64))
 
 
 def _place(docs: DataFrame, bits: int, heavy: np.ndarray) -> DataFrame:
@@ -378,7 +380,9 @@ def _links(comp: DataFrame, texts: DataFrame, classes: DataFrame, threshold: int
         return pd.DataFrame({"rep": rep, "links": links})
 
     found = rows.groupBy("large", "part", "u", "v").applyInPandas(count, "rep bigint, links bigint")
-    return materialize(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+    out = materialize(found.groupBy("rep").agg(F.sum("links").alias("links")), "links")
+    discard(nodes, texts)
+    return out
 
 
 def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", threshold: int = 75, links: bool = True) -> DataFrame:
@@ -401,6 +405,8 @@ def jaccard_classes(df: DataFrame, key: str = "doc_id", text: str = "text", thre
         same = classes.where("rep is not null").groupBy("rep").agg((F.countDistinct("doc_id") - 1).alias("equal"))
         out = out.join(same, "rep", "left").join(_links(found, texts, classes, threshold), "rep", "left")
         columns.append((F.coalesce("equal", F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"))
+    else:
+        discard(texts)
     return out.select(columns)
 
 
@@ -559,7 +565,9 @@ def _regions_joined(now: DataFrame, sketches: DataFrame, texts: DataFrame, thres
     u = most.where(asks).withColumn("u", deal("nu")).withColumn("v", each("nv")).withColumn("asks", F.lit(True)).withColumn("base", F.lit(False))
     v = most.withColumn("v", deal("nv")).withColumn("u", each("nu")).withColumn("asks", F.lit(False)).withColumn("base", F.lit(True))
     blocks = u.unionByName(v).select("key", "u", "v", "rep", "n", "comp", "asks", "base", "sketch", "z")
-    return materialize(out.unionByName(blocks.groupBy("key", "u", "v").applyInPandas(large, "a bigint, b bigint, linked boolean")), "joined")
+    out = materialize(out.unionByName(blocks.groupBy("key", "u", "v").applyInPandas(large, "a bigint, b bigint, linked boolean")), "joined")
+    discard(sizes)
+    return out
 
 
 def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
@@ -579,6 +587,7 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
     met = regions.where("rep <> pivot").where(near("n", "pn")).select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     sketches = placed.where("members is null and sketch is not null").select(F.col("doc_id").alias("rep"), "n", "sketch").join(regions.select("rep").distinct(), "rep").groupBy("rep").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sketches = materialize(sketches, "sketches")
+    discard(placed)
     met = _possible(met, sketches)
     wanted = regions.select(F.col("rep").alias("doc_id")).distinct()
     texts = _compressed(docs).join(wanted, "doc_id").groupBy(F.col("doc_id").alias("rep")).agg(F.min("z").alias("z"))
@@ -587,16 +596,20 @@ def _components(docs: DataFrame, placed: DataFrame, classes: DataFrame, threshol
     links = compared.where("linked").select("a", "b")
 
     comp = materialize(components(links, "a", "b"), "components")
+    discard(met, compared)
     now = regions.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     parts = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
     main = parts.groupBy("key").agg(F.max(F.struct("m", "comp")).getField("comp").alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     # a region's pivot has been compared with all of it
     apart = (F.col("comp") != F.col("main")) & (F.col("rep") != F.col("pivot"))
     now = materialize(now.join(main, "key").select("key", "rep", "n", "comp", apart.alias("apart")), "apart")
+    discard(regions)
     joins = _regions_joined(now, sketches, texts, threshold)
     left = _compare(joins.where("not linked").select("a", "b").distinct(), texts, threshold)
     found = joins.where("linked").select("a", "b").unionByName(left.where("linked").select("a", "b"))
-    return materialize(joined(comp, found, "a", "b"), "components"), texts
+    out = materialize(joined(comp, found, "a", "b"), "components")
+    discard(comp, now, sketches, joins, left)
+    return out, texts
 
 
 def brute_force(texts: dict[int, str | None], threshold: int = 75) -> dict[int, tuple[int, int]]:
