@@ -561,10 +561,10 @@ def _regions_joined(now: DataFrame, sketches: DataFrame, texts: DataFrame, thres
     out = few.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(buckets))).groupBy("part").applyInPandas(small, "a bigint, b bigint, linked boolean")
     most = rows.where("large").join(texts, "rep")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    u = most.where(asks).withColumn("u", deal("nu")).withColumn("v", each("nv")).withColumn("asks", F.lit(True)).withColumn("base", F.lit(False))
-    v = most.withColumn("v", deal("nv")).withColumn("u", each("nu")).withColumn("asks", F.lit(False)).withColumn("base", F.lit(True))
-    blocks = u.unionByName(v).select("key", "u", "v", "rep", "n", "comp", "asks", "base", "sketch", "z")
+    block = lambda u, v, asking: F.struct(u.alias("u"), v.alias("v"), F.lit(asking).alias("asks"), F.lit(not asking).alias("base"))
+    each = lambda n, make: F.transform(F.sequence(F.lit(0), F.col(n) - 1), make)
+    to = F.concat(F.when(asks, each("nv", lambda v: block(deal("nu"), v, True))).otherwise(F.array()), each("nu", lambda u: block(u, deal("nv"), False)))
+    blocks = most.withColumn("to", F.explode(to)).select("key", "to.*", "rep", "n", "comp", "sketch", "z")
     out = materialize(out.unionByName(blocks.groupBy("key", "u", "v").applyInPandas(large, "a bigint, b bigint, linked boolean")), "joined")
     discard(sizes)
     return out
