@@ -30,7 +30,10 @@ def test_pairs(spark, tmp_path):
     real = paired.select(F.size(ingest.real_levels(F.col("asks"))).alias("n")).collect()
     assert halts == 1 and [r.n for r in real] == [1, 2]
     assert ingest.counts(paired).first()[1:] == (2, 2)
+    assert [r.skipped for r in listed.collect()] == [None, "BBB.zip differs from its listed sum"]
+    assert ingest.verified_archives(spark, str(tmp_path), {"BBB.zip": "0"}).first().skipped == "AAA.zip is not listed"
     ingest.journals(paired, f"{tmp_path}/out", "crc32")
+    assert (tmp_path / "out/AAA/counts.txt").read_text() == "messages: 2\norderbook: 2\n"
     back = flatbuf.decode(spark.read.format("framed").option("checksum", "crc32").load(f"{tmp_path}/out/AAA/orderbook"), flatbuf.ORDER_BOOK, keep=("frame_no",))
     assert [r.timestamp for r in back.orderBy("frame_no").collect()] == [36023.5, 36024.0]
 
@@ -45,5 +48,7 @@ def test_faults(spark, tmp_path):
     assert [r.timestamp for r in ingest.pair_lenient(ingest.messages(uneven), ingest.snapshots(uneven)).collect()] == [1.0]
     short = ingest.csv_lines(paths("D"), KINDS)
     assert ingest.missing_pairs(short).count() == 1
+    with pytest.raises(Exception, match="MissingPair: D has only message"):
+        ingest.require_pairs(short).collect()
     with pytest.raises(Exception, match="too few fields"):
         ingest.messages(short).collect()

@@ -77,6 +77,30 @@ def test_observers_around_a_bound(spark):
     assert stages.observations["after"].get == {"messages": 2, "bytes": 6}
 
 
+def test_overwrite_and_index(spark, tmp_path, monkeypatch):
+    from tidemark.sources import journal
+
+    save = lambda df, **o: df.write.format("framed").options(checksum="crc32", **o).mode("overwrite").save(f"{tmp_path}/j")
+    some = spark.range(300).select(F.encode(F.concat(F.lit("message "), F.col("id").cast("string")), "UTF-8").alias("payload")).coalesce(1)
+    save(some)
+    with pytest.raises(Exception, match="longer than the limit"):
+        save(some, maxPayloadLen="3")
+    assert load(spark, f"{tmp_path}/j", checksum="crc32").count() == 300
+    save(some.limit(200).coalesce(1))
+    ((path, size),) = listing(f"{tmp_path}/j")
+    form = format_of("crc32")
+    monkeypatch.setattr(journal, "SPLIT_BYTES", 100)
+    assert journal.read_index(path, size, form) is None and len(journal.pieces(path, size, form, 1000)) > 3
+    assert journal.build_index(spark, f"{tmp_path}/j", checksum="crc32") == 1
+    assert journal.read_index(path, size, form) == []  # shorter than the index's step
+    want = [*journal.boundaries(path, size, form, 100)]
+    publish(journal.index_name(path), journal._index(size, form, want))
+    cuts = journal.pieces(path, size, form, 1000)
+    assert 3 <= len(cuts) and all((p.start, p.first) in [(0, 0), *want] for p in cuts) and journal.read_index(path, size + 1, form) is None
+    got = load(spark, f"{tmp_path}/j", checksum="crc32", splitBytes="1000").orderBy("frame_no").collect()
+    assert [r.frame_no for r in got] == [*range(200)] and [bytes(r.payload) for r in got] == [f"message {k}".encode() for k in range(200)]
+
+
 def decide(p, sizes, capacity=1000, times=None):
     return [p.decide(s, capacity, t) for s, t in zip(sizes, times or [0.0] * len(sizes), strict=True)]
 

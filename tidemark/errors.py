@@ -50,6 +50,10 @@ class ValidationFailed(JournalError):
     kind = "ValidationFailed"
 
 
+class MissingPair(JournalError):
+    kind = "MissingPair"
+
+
 class UnexpectedEof(JournalError):
     kind = "UnexpectedEof"
 

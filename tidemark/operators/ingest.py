@@ -10,6 +10,7 @@ from __future__ import annotations
 import csv
 import hashlib
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from decimal import Decimal
@@ -19,7 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import flatbuf
-from tidemark.sources.files import listing, open_input
+from tidemark.sources.codec import format_of
+from tidemark.sources.files import listing, locate, open_input, publish
 
 #: Fixed value: the size-0 price of an empty level.
 EMPTY_LEVEL = 9_999_999_999
@@ -27,7 +29,8 @@ LINES = "base string, kind string, line_no bigint, cells array<string>"
 
 
 def verified_archives(spark: SparkSession, path: str, manifest: dict[str, str]) -> DataFrame:
-    """(path, sha256, ok) of the ZIPs below ``path`` that the manifest (name -> SHA-256) lists, sorted; others are left out."""
+    """(path, sha256, ok, skipped) of the ZIPs below ``path``, sorted: ``ok`` where the
+    manifest (name -> SHA-256) lists them with this sum, else ``skipped`` says why."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -43,8 +46,10 @@ def verified_archives(spark: SparkSession, path: str, manifest: dict[str, str])
     files = [(p,) for p, _ in listing(path) if p.endswith(".zip")]
     names = spark.createDataFrame(files, "path string").repartition(max(1, len(files)))
     listed = spark.createDataFrame([*manifest.items()], "name string, expected string")
-    found = names.mapInArrow(run, "path string, sha256 string").withColumn("name", F.substring_index("path", "/", -1)).join(listed, "name")
-    return found.select("path", "sha256", (F.col("sha256") == F.lower("expected")).alias("ok")).orderBy("path")
+    found = names.mapInArrow(run, "path string, sha256 string").withColumn("name", F.substring_index("path", "/", -1)).join(listed, "name", "left")
+    ok = F.coalesce(F.col("sha256") == F.lower("expected"), F.lit(False))
+    why = F.when(F.col("expected").isNull(), F.concat("name", F.lit(" is not listed"))).when(~ok, F.concat("name", F.lit(" differs from its listed sum")))
+    return found.select("path", "sha256", ok.alias("ok"), why.alias("skipped")).orderBy("path")
 
 
 def csv_lines(archives: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -111,17 +116,72 @@ def missing_pairs(lines: DataFrame) -> DataFrame:
     return lines.groupBy("base").agg(F.collect_set("kind").alias("kinds")).where(F.size("kinds") == 1)
 
 
+def require_pairs(lines: DataFrame) -> DataFrame:
+    """``lines``, raising MissingPair where a base has rows of one kind only.  The
+    bases are told by a map-side aggregate; rows follow by a join on the base."""
+    lone = missing_pairs(lines).select("base", F.element_at("kinds", 1).alias("only"))
+    said = F.concat(F.lit("MissingPair: "), F.col("base"), F.lit(" has only "), F.col("only"))
+    both = lines.join(lone, "base", "left")
+    return both.withColumn("kind", F.when(F.col("only").isNotNull(), F.raise_error(said).cast("string")).otherwise(F.col("kind"))).drop("only")
+
+
 def counts(paired: DataFrame) -> DataFrame:
     """The sidecar's counts for each base."""
     return paired.groupBy("base").agg(F.count("event_type").alias("messages"), F.count("asks").alias("orderbook"))
 
 
 def journals(paired: DataFrame, out: str, checksum: str = "none") -> None:
-    """Two journals for each base, in row order: ``out/<base>/message`` and ``.../orderbook``."""
-    for base in [r.base for r in paired.select("base").distinct().collect()]:
-        rows = paired.where(F.col("base") == base).repartition(1).sortWithinPartitions("line_no")
-        for kind, what in (("message", flatbuf.MESSAGE), ("orderbook", flatbuf.ORDER_BOOK)):
-            flatbuf.encode(rows, what).write.format("framed").option("checksum", checksum).mode("append").save(f"{out}/{base}/{kind}")
+    """Two journals for each base, in row order, ``out/<base>/message`` and
+    ``.../orderbook``, with the counts of their rows in ``out/<base>/counts.txt``.
+    One job for each kind writes all bases; a file has its name once it is whole."""
+    form = format_of(checksum)
+
+    def writer(kind: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            done: list[tuple] = []
+            now, sink, n, temp = None, None, 0, ""
+
+            def close():
+                if sink is not None:
+                    sink.close()
+                    where, name = locate(f"{out}/{now}/{kind}/journal-0.journal")
+                    where.move(temp, name)
+                    done.append((now, n))
+
+            for batch in batches:
+                bases = batch.column(0).to_pylist()
+                edges = [0, *(k for k in range(1, len(bases)) if bases[k] != bases[k - 1]), len(bases)]
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if a == b:
+                        continue
+                    if sink is None or bases[a] != now:
+                        close()
+                        now, n = bases[a], 0
+                        where, folder = locate(f"{out}/{now}/{kind}")
+                        where.create_dir(folder, recursive=True)
+                        temp = f"{folder}/_{uuid.uuid4().hex}"
+                        sink = where.open_output_stream(temp, compression=None)
+                    sink.write(form.encode(batch.column(1).slice(a, b - a)))
+                    n += b - a
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.string()), pa.array([x for _, x in done], pa.int64())], ["base", "n"])
+
+        return run
+
+    dealt = paired.repartition("base").sortWithinPartitions("base", "line_no")
+    wrote = None
+    for kind, what in (("message", flatbuf.MESSAGE), ("orderbook", flatbuf.ORDER_BOOK)):
+        # what Python stages give keeps its order within a partition
+        got = flatbuf.encode(dealt, what, keep=("base",)).mapInArrow(writer(kind), "base string, n bigint").withColumnRenamed("n", kind)
+        wrote = got if wrote is None else wrote.join(got, "base")
+
+    def sidecar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, m, o in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                publish(f"{out}/{base}/counts.txt", f"messages: {m}\norderbook: {o}\n".encode())
+            yield batch.select([0])
+
+    wrote.select("base", "message", "orderbook").mapInArrow(sidecar, "base string").count()
 
 
 def is_halt(event_type: Column, price: Column) -> Column:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.errors import ERROR_TYPE, PAYLOAD_OVER_LIMIT, ValidationFailed
+from tidemark.errors import ERROR_TYPE, PAYLOAD_OVER_LIMIT
 from tidemark.functions.flatbuf import Descriptor, decode_batch, verify_root
 
 #: A validator: payload column -> error column.
@@ -79,8 +79,3 @@ def validate(df: DataFrame, validator: Validator, payload: str = "payload", mode
         return df.withColumn("error", F.coalesce(earlier, error))
     checked = F.when(error.isNotNull(), F.raise_error(F.concat_ws(": ", error["kind"], error["validator"], error["message"])).cast("binary")).otherwise(F.col(payload))
     return df.withColumn(payload, checked)
-
-
-def check_one(validator_name: str, why: str) -> None:
-    if why:
-        raise ValidationFailed(f"{validator_name}: {why}", validator=validator_name, reason=why)

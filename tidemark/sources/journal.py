@@ -1,36 +1,44 @@
 """Spark data source ``framed``: journals of length-prefixed messages.
 
 Reading: one row for each frame (path, frame_no, offset, payload_len, checksum,
-payload, error).  Large files are split at true frame boundaries, found by
-hopping over headers.  Options: ``checksum`` (none, crc16, crc32, xxh3 or a
+payload, error).  Large files are split at true frame boundaries, which the sink
+writes down beside each journal; :func:`build_index` does so for others, as a
+Spark job.  Without such an index the driver looks at :data:`PLAN_BLOCKS` blocks
+of headers at most, and what follows is one range.  Options: ``checksum`` (none, crc16, crc32, xxh3 or a
 registered name), ``format`` (a registered FrameFormat), ``maxFrameLen``,
 ``mode`` (failfast or permissive), ``verify``, ``headerOnly`` (payloads are
 skipped, not read), ``splitBytes``.
 
 Writing: each task writes one journal of the ``payload`` column, in the order
-of its rows, under a temporary name; the commit renames all.  Options:
+of its rows, under a temporary name; the commit renames all and only then
+deletes what an overwrite replaces.  Options:
 ``checksum``, ``format``, ``maxPayloadLen``.
 """
 
 from __future__ import annotations
 
 import contextlib
+import itertools
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
-from tidemark.errors import ERROR_FIELDS, ERROR_TYPE, JournalError, UnexpectedEof
-from tidemark.sources.codec import DEFAULT_MAX_FRAME, FrameFormat, Frames, format_of, hop, scan
-from tidemark.sources.files import listing, locate, open_input, read_at
+from tidemark.errors import ERROR_FIELDS, ERROR_TYPE, JournalError
+from tidemark.sources.codec import DEFAULT_MAX_FRAME, FrameFormat, Frames, format_of, headers, scan
+from tidemark.sources.files import listing, locate, open_input, publish, read_at
 
 SCHEMA = f"path string, frame_no bigint, offset bigint, payload_len bigint, checksum decimal(20,0), payload binary, error {ERROR_TYPE}"
 SPLIT_BYTES = 64 << 20
+#: Bytes between two boundaries of an index; blocks of headers that the driver reads of a file without one.
+INDEX_BYTES, PLAN_BLOCKS = 8 << 20, 1024
 
 _ERROR_ARROW = pa.struct([(f, pa.int64() if f in ("declared_len", "buffer_len", "limit") else pa.string()) for f in ERROR_FIELDS])
 ARROW = pa.schema([("path", pa.string()), ("frame_no", pa.int64()), ("offset", pa.int64()), ("payload_len", pa.int64()), ("checksum", pa.decimal128(20, 0)), ("payload", pa.binary()), ("error", _ERROR_ARROW)])
@@ -56,19 +64,64 @@ def pieces(path: str, size: int, form: FrameFormat, split: int = SPLIT_BYTES) ->
     """Ranges of whole frames of about ``split`` bytes; what cannot be hopped over is left to the last one."""
     if size <= split:
         return [Piece(path, 0, None, 0)]
-    out, start, first, number, end = [], 0, 0, 0, 0
-    with contextlib.suppress(JournalError):
-        for at, n, _ in hop(read_at(path), form):
-            if at - start >= split:
-                out.append(Piece(path, start, at, first))
-                start, first = at, number
-            number, end = number + 1, at + form.header_size + n
-            if end > size:
-                break
+    marks = read_index(path, size, form)
+    if marks is None:
+        marks = [*boundaries(path, size, form, split, PLAN_BLOCKS)]
+    out, start, first = [], 0, 0
+    for at, number in marks:
+        if at - start >= split:
+            out.append(Piece(path, start, at, first))
+            start, first = at, number
     out.append(Piece(path, start, None, first))
     return out
 
 
+def boundaries(path: str, size: int, form: FrameFormat, every: int = INDEX_BYTES, blocks: int | None = None) -> Iterator[tuple[int, int]]:
+    """(offset, number) of the frames that are the first ``every`` bytes or more after
+    the one before, in the first ``blocks`` blocks of headers; ends where the journal fails."""
+    last, number = 0, 0
+    with contextlib.suppress(JournalError):
+        for offsets, _, _ in itertools.islice(headers(read_at(path), size, form), blocks):
+            while (k := int(np.searchsorted(offsets, last + every))) < len(offsets):
+                last = int(offsets[k])
+                yield last, number + k
+            number += len(offsets)
+
+
+def index_name(path: str) -> str:
+    folder, _, name = path.rpartition("/")
+    return f"{folder}/_{name}.index"
+
+
+def read_index(path: str, size: int, form: FrameFormat) -> list[tuple[int, int]] | None:
+    """The boundaries written beside a journal, if they are of its present size and header."""
+    with contextlib.suppress(FileNotFoundError, ValueError), open_input(index_name(path)) as f:
+        got = json.loads(f.read())
+        if got["size"] == size and got["header"] == form.header_size:
+            return [*map(tuple, got["marks"])]
+    return None
+
+
+def build_index(spark: SparkSession, path: str, **options) -> int:
+    """Write the index of each journal at ``path`` that lacks one, a task for a file; gives their number."""
+    form = _format(options)
+    files = [(p, n) for p, n in listing(path) if n > SPLIT_BYTES and read_index(p, n, form) is None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                publish(index_name(name), _index(size, form, [*boundaries(name, size, form)]))
+            yield batch.select([1])
+
+    if not files:
+        return 0
+    return spark.createDataFrame(files, "path string, size bigint").repartition(len(files)).mapInArrow(run, "size bigint").count()
+
+
+def _index(size: int, form: FrameFormat, marks: list) -> bytes:
+    return json.dumps({"size": size, "header": form.header_size, "marks": marks}).encode()
+
+
 def batch_of(path: str, got: Frames, form: FrameFormat, header_only: bool = False) -> pa.RecordBatch:
     n = len(got.offsets)
     sums = pa.array(got.sums.tolist(), pa.decimal128(20, 0)) if form.checksum.width else pa.nulls(n, pa.decimal128(20, 0))
@@ -100,26 +153,26 @@ def read_piece(piece: Piece, form: FrameFormat, options: dict) -> Iterator[pa.Re
 
 
 def _headers(piece: Piece, form: FrameFormat, permissive: bool) -> Iterator[pa.RecordBatch]:
-    size, rows, failure = open_input(piece.path).size(), [], None
-    give = lambda first: batch_of(piece.path, Frames(first, *(np.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 3, (np.int64, np.int64, np.uint64), strict=True)), None), form, True)
-    first = piece.first
+    size, first, held, n = open_input(piece.path).size(), piece.first, [], 0
+
+    def give() -> Iterator[pa.RecordBatch]:
+        nonlocal first, held, n
+        if held:
+            yield batch_of(piece.path, Frames(first, *map(np.concatenate, zip(*held, strict=True)), None), form, True)
+        first, held, n = first + n, [], 0
+
     try:
-        for at, n, expected in hop(read_at(piece.path), form, piece.start):
-            if piece.end is not None and at >= piece.end:
-                break
-            if at + form.header_size + n > size:
-                raise UnexpectedEof("the stream ends inside a frame", declared_len=n, buffer_len=size - at - form.header_size)
-            rows.append((at, n, expected))
-            if len(rows) == 65_536:
-                yield give(first)
-                first, rows = first + len(rows), []
-    except JournalError as e:
-        failure = e
-    yield give(first)
-    if failure:
+        for got in headers(read_at(piece.path), size, form, piece.start, piece.end):
+            held.append(got)
+            n += len(got[0])
+            if n >= 65_536:
+                yield from give()
+    except JournalError as failure:
+        yield from give()
         if not permissive:
-            raise failure
-        yield error_row(piece.path, first + len(rows), Frames(0, np.zeros(0), np.zeros(0), np.zeros(0), None, failure), form)
+            raise
+        yield error_row(piece.path, first, Frames(0, np.zeros(0), np.zeros(0), np.zeros(0), None, failure), form)
+    yield from give()
 
 
 class JournalReader(DataSourceReader):
@@ -167,6 +220,7 @@ class Written(WriterCommitMessage):
     final: str
     frames: int
     bytes: int
+    marks: list
 
 
 class JournalWriter(DataSourceArrowWriter):
@@ -175,11 +229,7 @@ class JournalWriter(DataSourceArrowWriter):
         self.form = _format(self.options)
         bound = self.options.get("maxpayloadlen", self.options.get("maxPayloadLen"))
         self.bound = None if bound is None else int(bound)
-        self.run = uuid.uuid4().hex[:12]
-        if overwrite:
-            where, root = locate(self.options["path"])
-            with contextlib.suppress(FileNotFoundError):
-                where.delete_dir_contents(root)
+        self.run = f"{time.time_ns() // 1_000_000:013d}-{uuid.uuid4().hex[:12]}"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         from pyspark import TaskContext
@@ -188,21 +238,30 @@ class JournalWriter(DataSourceArrowWriter):
         where.create_dir(root, recursive=True)
         task = TaskContext.get()
         part = f"journal-{self.run}-{task.partitionId():05d}"
-        temp, n, size = f"{root}/_{part}.{task.taskAttemptId()}", 0, 0
+        temp, n, size, marks = f"{root}/_{part}.{task.taskAttemptId()}", 0, 0, []
         with where.open_output_stream(temp, compression=None) as f:
             for batch in iterator:
                 data = self.form.encode(batch.column(self.column), self.bound)
+                if size - (marks[-1][0] if marks else 0) >= INDEX_BYTES:
+                    marks.append((size, n))
                 f.write(data)
                 n, size = n + batch.num_rows, size + len(data)
-        return Written(temp, f"{root}/{part}.journal", n, size)
+        return Written(temp, f"{root}/{part}.journal", n, size, marks)
 
     def commit(self, messages: list[Written | None]) -> None:
-        where, _ = locate(self.options["path"])
+        where, root = locate(self.options["path"])
+        old = [locate(p)[1] for p, _ in listing(self.options["path"])] if self.overwrite and where.get_file_info(root).type == fs.FileType.Directory else []
         for m in messages:
             if m and m.frames:
+                if m.marks:
+                    publish(f"{self.options['path'].rstrip('/')}/{index_name(m.final).rpartition('/')[2]}", _index(m.bytes, self.form, m.marks))
                 where.move(m.temp, m.final)
             elif m:
                 where.delete_file(m.temp)
+        for name in old:  # what is replaced goes last: a job that fails leaves it
+            for x in (name, index_name(name)):
+                with contextlib.suppress(FileNotFoundError):
+                    where.delete_file(x)
 
     def abort(self, messages: list[Written | None]) -> None:
         where, _ = locate(self.options["path"])
@@ -234,7 +293,3 @@ def register(spark: SparkSession) -> SparkSession:
     spark.dataSource.register(FramedSource)
     return spark
 
-
-def manifest(path: str) -> str:
-    """Names and sizes of a folder's journals, as JSON (for logs)."""
-    return json.dumps(listing(path))
