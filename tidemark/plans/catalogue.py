@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from tidemark.functions import checksum, flatbuf
 from tidemark.functions.flatbuf import Descriptor, Field
 from tidemark.operators import ingest, observe, policy, recovery, validation
 from tidemark.sources import journal
-from tidemark.sources.files import shared_uri
+from tidemark.sources.codec import format_of, scan
+from tidemark.sources.files import listing, locate, open_input, shared_uri
 from tidemark.streaming import journals as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -193,11 +195,114 @@ def encode_decode_orders(spark, sf_dir):
 # ---- integrity, validation, observation ------------------------------------
 
 
-@query()
+def _crc_sql(text: str) -> tuple[str, str]:
+    """CRC-16 (a byte at a time) and CRC-32 (a bit at a time) of a text as DuckDB expressions."""
+    first = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST(ord(substr({text}, CAST(i + 1 AS BIGINT), 1)) AS BIGINT))"
+    mixed = "xor((c >> 8) & 255, b)"
+    folded = f"xor({mixed}, {mixed} >> 4)"
+    crc16 = f"list_reduce(list_concat([0::BIGINT], {first}), lambda c, b: xor(xor(xor((c << 8) & 65535, ({folded} << 12) & 65535), ({folded} << 5) & 65535), {folded}))"
+    bits = f"list_transform(range(8 * octet_length(encode({text}))), lambda i: CASE WHEN i % 8 = 0 THEN CAST(ord(substr({text}, CAST(i // 8 + 1 AS BIGINT), 1)) AS BIGINT) ELSE 0::BIGINT END)"
+    crc32 = f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), lambda c, b: xor(xor(c, b) >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384::BIGINT ELSE 0::BIGINT END)), 4294967295::BIGINT)"
+    return crc16, crc32
+
+
+@query("SELECT event_id, {} AS crc16, {} AS crc32 FROM (SELECT event_id, event_type || ':' || event_id AS s FROM events)".format(*_crc_sql("s")))
 def checksum_columns(spark, sf_dir):
-    """All checksums of a text; CRC-32 in the JVM."""
-    payload = F.encode("n_name", "UTF-8")
-    return table(spark, sf_dir, "nation").select("n_nationkey", *[checksum.checksum(payload, c).alias(c) for c in ("crc16", "crc32", "xxh3")])
+    """Checksums of a text by value; CRC-32 in the JVM."""
+    payload = F.encode(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")), "UTF-8")
+    return table(spark, sf_dir, "events").select("event_id", *[checksum.checksum(payload, c).cast("bigint").alias(c) for c in ("crc16", "crc32")])
+
+
+@query()
+def checksum_xxh3(spark, sf_dir):
+    """XXH3-64, which SQL lacks; known answers are in the tests."""
+    payload = F.encode(F.concat("event_type", F.lit(":"), F.col("event_id").cast("string")), "UTF-8")
+    return table(spark, sf_dir, "events").select("event_id", checksum.checksum(payload, "xxh3").alias("xxh3"))
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 3) AS total, round(avg(value), 6) AS mean FROM events GROUP BY event_type")
+def telemetry_stats(spark, sf_dir):
+    rows = by_type(decoded(spark, sf_dir, checksum="xxh3"))
+    return rows.select("event_type", "n", F.round("total", 3).alias("total"), F.round("mean", 6).alias("mean"))
+
+
+@query("SELECT c_custkey, CAST(octet_length(encode(c_name)) AS BIGINT) AS payload_len, CAST(sum(8 + octet_length(encode(c_name))) OVER (ORDER BY c_custkey) - 8 - octet_length(encode(c_name)) AS BIGINT) AS frame_offset FROM customer")
+def frame_layout(spark, sf_dir):
+    """Where each frame of one journal begins, and how long it is."""
+    rows = lambda: table(spark, sf_dir, "customer").select(F.concat("c_name").alias("name"), "c_custkey").repartition(1).sortWithinPartitions("c_custkey").select(F.encode("name", "UTF-8").alias("payload"))
+    got = frames(spark, written(spark, sf_dir, "layout", rows, checksum="crc32"), checksum="crc32", headerOnly="true")
+    keys = table(spark, sf_dir, "customer").select("c_custkey", (F.row_number().over(Window.orderBy("c_custkey")) - 1).cast("bigint").alias("frame_no"))
+    return got.join(keys, "frame_no").select("c_custkey", "payload_len", F.col("offset").alias("frame_offset"))
+
+
+@query("SELECT doc_id, 'InvalidFrame' AS kind, CAST(octet_length(encode(text)) AS BIGINT) AS declared_len FROM documents WHERE octet_length(encode(text)) > 2048")
+def bounded_reject(spark, sf_dir):
+    """Payloads that a bounded sink refuses before it writes a byte."""
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.encode("text", "UTF-8").alias("payload"))
+    got = validation.validate(rows, validation.bound(2048), mode="permissive").where("error is not null")
+    return got.select("doc_id", F.col("error.kind").alias("kind"), F.col("error.declared_len").alias("declared_len"))
+
+
+def raw_journal(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame]) -> str:
+    """The folder of journals made of the ``frame`` column's bytes as they are, faults included."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = shared_uri(spark, name)
+
+        def run(batches):
+            from pyspark import TaskContext
+
+            task = TaskContext.get()
+            where, folder = locate(path)
+            where.create_dir(folder, recursive=True)
+            temp = f"{folder}/_{task.partitionId()}.{task.taskAttemptId()}"
+            with where.open_output_stream(temp, compression=None) as f:
+                for batch in batches:
+                    f.write(b"".join(batch.column(0).to_pylist()))
+            where.move(temp, f"{folder}/journal-{task.partitionId():05d}.journal")
+            yield from ()
+
+        make().select("frame").mapInArrow(run, "n bigint").count()
+        _written[key] = path
+    return _written[key]
+
+
+@query("SELECT count(*) FILTER (event_id % 7 = 0) AS broken, count(*) FILTER (event_id % 7 <> 0) AS sound, CAST(sum(event_id) FILTER (event_id % 7 <> 0) AS BIGINT) AS ids, max(value) FILTER (event_id % 7 <> 0) AS most FROM events")
+def corruption_detected(spark, sf_dir):
+    """A byte of every seventh frame is another one: these fail, the others are read."""
+
+    def make():
+        rows = table(spark, sf_dir, "events").withColumn("micros", F.unix_micros(F.col("ts").cast("timestamp")))
+        framed = flatbuf.encode(rows, EVENT, keep=("event_id",)).select("event_id", checksum.framed("payload", "crc32").alias("frame"))
+        last = F.conv(F.hex(F.substring("frame", -1, 1)), 16, 10).cast("int")
+        other = F.unhex(F.lpad(F.hex(255 - last), 2, "0"))
+        spoilt = F.concat(F.expr("substring(frame, 1, octet_length(frame) - 1)"), other)
+        return framed.select(F.when(F.col("event_id") % 7 == 0, spoilt).otherwise(F.col("frame")).alias("frame"))
+
+    got = frames(spark, raw_journal(spark, sf_dir, "spoilt", make), checksum="crc32", mode="permissive")
+    broken = got.where("error is not null").agg(F.count_if(F.col("error.kind") == "ChecksumMismatch").alias("broken"))
+    sound = flatbuf.decode(got.where("error is null"), EVENT).agg(F.count(F.lit(1)).alias("sound"), F.sum("event_id").alias("ids"), F.max("value").alias("most"))
+    return broken.withColumn("one", F.lit(1)).join(sound.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+@query("SELECT c_custkey, CAST(octet_length(encode(c_name)) AS BIGINT) AS payload_len, left(c_name, length(c_name) - 4) AS rest, 'UnexpectedEof' AS failure FROM customer")
+def misframe(spark, sf_dir):
+    """A plain reader on a checksummed journal of one message: the right length, wrong bytes, then a failure."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", checksum.framed(F.encode("c_name", "UTF-8"), "crc32").alias("frame"))
+
+    def run(batches):
+        import io
+
+        form = format_of("none")
+        for batch in batches:
+            out = []
+            for key, frame in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                got = [*scan(io.BytesIO(frame), form)]
+                payload = got[0].payloads[0].as_py()
+                out.append({"c_custkey": key, "payload_len": len(payload), "rest": payload[4:].decode(), "failure": got[-1].failure.kind})
+            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("c_custkey", pa.int64()), ("payload_len", pa.int64()), ("rest", pa.string()), ("failure", pa.string())]))
+
+    return rows.mapInArrow(run, "c_custkey bigint, payload_len bigint, rest string, failure string")
 
 
 @query("SELECT checksum, payloads, CAST(overhead AS BIGINT) AS overhead_bytes, CAST(overhead AS DOUBLE) / payloads AS mean_overhead FROM (SELECT c.checksum, count(*) AS payloads, count(*) * c.width AS overhead FROM events, (VALUES ('none', 4), ('crc16', 6), ('crc32', 8), ('xxh3', 12)) c(checksum, width) GROUP BY c.checksum, c.width)")
@@ -325,12 +430,29 @@ def policy_size_threshold_windows(spark, sf_dir):
     return policy.size_threshold_events(_sizes(spark, sf_dir), 4096, 2048, 2)
 
 
-@query()
+def _adaptive_sql(reader: bool) -> str:
+    """The gate and the policy (ratio 4, wait 3, baseline 1024) as a recursion over the frames of each path."""
+    start = "CASE WHEN s.pending THEN 1024 ELSE s.cap END"
+    return f"""
+        WITH RECURSIVE d AS (SELECT source AS path, doc_id AS frame_no, CAST(octet_length(encode(text)) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE text IS NOT NULL),
+        s AS (
+            SELECT path, 0::BIGINT AS k, NULL::BIGINT AS frame_no, 0::BIGINT AS n, 0::BIGINT AS before, 1024::BIGINT AS cap, 0::BIGINT AS run, false AS pending, false AS fired FROM (SELECT DISTINCT path FROM d)
+            UNION ALL
+            SELECT path, k, frame_no, n, c, CASE WHEN fired AND {"false" if reader else "true"} THEN 1024 ELSE c END, CASE WHEN fired THEN 0 ELSE run END, fired AND {"true" if reader else "false"}, fired
+            FROM (SELECT *, c > 1024 AND run >= 3 AS fired FROM (
+                SELECT d.path, d.k, d.frame_no, d.n, greatest({start}, d.n) AS c,
+                    CASE WHEN greatest({start}, d.n) <= 1024 THEN s.run WHEN d.n > 0 AND greatest({start}, d.n) >= 4 * d.n THEN s.run + 1 ELSE 0 END AS run
+                FROM s JOIN d ON d.path IS NOT DISTINCT FROM s.path AND d.k = s.k + 1) x) y
+        )
+        SELECT path, frame_no, 'MessageCount' AS reason, n AS last_message_size, before AS capacity_before, 1024::BIGINT AS capacity_after FROM s WHERE fired"""
+
+
+@query(_adaptive_sql(False))
 def policy_adaptive_writer(spark, sf_dir):
     return policy.replay(_sizes(spark, sf_dir), lambda: policy.Adaptive(4, 3, baseline=1024))
 
 
-@query()
+@query(_adaptive_sql(True))
 def policy_adaptive_reader(spark, sf_dir):
     return policy.replay(_sizes(spark, sf_dir), lambda: policy.Adaptive(4, 3, baseline=1024), side="reader")
 
@@ -341,6 +463,29 @@ def recovery_report(spark, sf_dir):
     return got.agg(F.sum("frames").cast("decimal(38,0)").alias("frames"), F.sum((F.col("end") == "TornTail").cast("int")).cast("decimal(38,0)").alias("torn"), F.sum(F.col("error").isNotNull().cast("int")).cast("decimal(38,0)").alias("broken"))
 
 
+@query("""
+    WITH b AS (SELECT sum(8 + octet_length(encode(n_name))) OVER (ORDER BY n_nationkey) AS upto FROM nation)
+    SELECT c.cut, count(*) FILTER (b.upto <= c.cut) AS frames, CAST(coalesce(max(b.upto) FILTER (b.upto <= c.cut), 0) AS BIGINT) AS last_good_offset,
+        CASE WHEN c.cut = 0 OR bool_or(b.upto = c.cut) THEN 'CleanEof' ELSE 'TornTail' END AS ending
+    FROM (SELECT unnest(range(CAST((SELECT max(upto) FROM b) AS BIGINT) + 1)) AS cut) c, b GROUP BY c.cut
+""")
+def recover_sweep(spark, sf_dir):
+    """A journal cut at every byte: what recovery finds of each piece."""
+    rows = lambda: table(spark, sf_dir, "nation").repartition(1).sortWithinPartitions("n_nationkey").select(F.encode("n_name", "UTF-8").alias("payload"))
+    ((path, size),) = listing(written(spark, sf_dir, "sweep", rows, checksum="crc32"))
+
+    def run(batches):
+        import io
+
+        with open_input(path) as f:
+            data = f.read()
+        for batch in batches:
+            found = [recovery.recover_stream(io.BytesIO(data[:k]), format_of("crc32")) for k in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x) for x in zip(*found, strict=True))], ["cut", "frames", "last_good_offset", "ending"])
+
+    return spark.range(size + 1).select(F.col("id").alias("cut")).mapInArrow(run, "cut bigint, frames bigint, last_good_offset bigint, ending string")
+
+
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY event_type")
 def stream_by_type(spark, sf_dir):
     """The same journal as a stream: all files that have arrived, then the end."""
