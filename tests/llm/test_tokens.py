@@ -81,6 +81,35 @@ def test_word_encoder_equals_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids + [2] for e in library.encode_batch(own, add_special_tokens=False)]
 
 
+def test_whole_table_equals_libraries(spark):
+    """op4, op6 and op9 over all documents against the libraries themselves."""
+    import pyarrow.parquet as pq
+    import sentencepiece
+
+    from tidemark.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    rows = {r["doc_id"]: r["text"] or "" for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    piece, byte, word = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(BYTE), Tokenizer.from_file(WORD)
+    for t in (byte, word):
+        t.no_truncation()
+        t.no_padding()
+    counts = {r.doc_id: r for r in queries.op4_token_counts(spark, sf).collect()}
+    assert {k: (r.n_bytes, r.n_tokens, r.over_limit) for k, r in counts.items()} == {k: (len(t.encode()), n := len(piece.encode(t)), n > 4096) for k, t in rows.items()}
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = {k: byte.encode(t, add_special_tokens=False).ids for k, t in rows.items()}
+    want = {k: (len(x), sha(np.array(x, "<u4").tobytes()), sha(byte.decode(x, skip_special_tokens=False).encode())) for k, x in ids.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in queries.op6_bpe_codec(spark, sf).collect()} == want
+    ids = {k: word.encode(t, add_special_tokens=False).ids + [2] for k, t in rows.items()}
+    seen = dict.fromkeys(rows, 0)
+    for r in sorted(queries.op9_packing(spark, sf).collect(), key=lambda r: (r.doc_id, r.start)):
+        own = ids[r.doc_id]
+        assert r.start == seen[r.doc_id] and r.doc_tokens == len(own)
+        assert r.ids_crc32 == zlib.crc32(np.array(own[r.start : r.start + r.length], "<u4").tobytes())
+        seen[r.doc_id] += r.length
+    assert seen == {k: len(x) for k, x in ids.items()}
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_packer(seed):
     rng = random.Random(seed)

@@ -7,7 +7,8 @@ place in that string (``start_char``), the number of the first example that
 contains it (``example``) and the span under the loss mask; example ``k`` is
 the text of all rows with ``example <= k``, masked to the span of its last one.
 The output thus grows with the input even where one conversation holds a third
-of all turns.  Turns after the last reply are one last example without a mask.
+of all turns; :func:`expand` gives the examples as spans of that string, and
+:func:`digests` reads each of them back.  Turns after the last reply are one last example without a mask.
 
 Formatting is a pure column expression; the places come from a running window
 that spills, and reading back streams sorted turns through incremental digests,
@@ -83,51 +84,74 @@ def format_turns(df: DataFrame) -> DataFrame:
     )
 
 
-def examples(turns: DataFrame) -> DataFrame:
-    """The expanded examples themselves, with their whole context as text (for
-    conversations of bounded length: the texts grow with the square of the turns)."""
-    now = Window.partitionBy("conv_id").orderBy("start_char").rowsBetween(Window.unboundedPreceding, -1)
-    context = F.array_join(F.collect_list("formatted").over(now), "")
-    return turns.withColumn("context", context).where("loss_from is not null").select("conv_id", "example", "context", F.col("formatted").alias("target"), "loss_from", "loss_to")
+def expand(turns: DataFrame) -> DataFrame:
+    """The expansion: a row for each example with its number, the characters of its
+    context and of the whole, and the span under the mask, all within the example's
+    own text.  Turns after the last reply are one example whose mask is null."""
+    at = lambda c: F.col("start_char") + c
+    end = at(F.length("formatted")).alias("end_char")
+    replies = turns.where("loss_from is not null").select("conv_id", "example", F.col("start_char").alias("context_chars"), end, at(F.col("loss_from")).alias("loss_from"), at(F.col("loss_to")).alias("loss_to"))
+    last = turns.groupBy("conv_id").agg(F.max(F.struct("start_char", "example", at(F.length("formatted")).alias("end_char"), "loss_from")).alias("last"))
+    none = F.lit(None).cast("bigint")
+    rest = last.where("last.loss_from is null").select("conv_id", "last.example", F.col("last.end_char").alias("context_chars"), "last.end_char", none.alias("loss_from"), none.alias("loss_to"))
+    return replies.unionByName(rest)
 
 
-def digests(turns: DataFrame) -> DataFrame:
-    """Read formatted turns back: for each conversation n_turns, turns_sha256,
-    loss_chars, loss_sha256, n_examples and formatted_chars (of all examples)."""
+def examples(turns: DataFrame) -> DataFrame:
+    """The expanded examples themselves, with their whole context as text (for
+    conversations of bounded length: the texts grow with the square of the turns);
+    turns after the last reply are context of an example with an empty target."""
+    order = Window.partitionBy("conv_id").orderBy("start_char")
+    context = F.array_join(F.collect_list("formatted").over(order.rowsBetween(Window.unboundedPreceding, -1)), "")
+    rows = turns.withColumn("context", context).withColumn("last", F.lead("start_char").over(order).isNull())
+    reply = F.col("loss_from").isNotNull()
+    target = F.when(reply, F.col("formatted")).otherwise(F.lit(""))
+    return rows.where(reply | F.col("last")).select("conv_id", "example", F.when(reply, F.col("context")).otherwise(F.concat("context", "formatted")).alias("context"), target.alias("target"), "loss_from", "loss_to")
+
+
+def digests(turns: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Read formatted turns and the examples of :func:`expand` back: for each
+    conversation n_turns, turns_sha256, loss_chars, loss_sha256, n_examples and
+    formatted_chars (of all examples).  An example's mask is cut out of its text by
+    its own span; one that does not lie in its last turn raises."""
     kinds = [("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())]
     schema = pa.schema(kinds)
+    give = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
 
     def run(batches):
-        now, n, chars, loss_chars, total, made, open_tail = None, 0, 0, 0, 0, 0, False
+        now, n, chars, loss_chars, total, made, last = None, 0, 0, 0, 0, 0, ""
         turns_sha = loss_sha = None
         rows: list[tuple] = []
 
         def close():
             if turns_sha is not None:
-                tail = chars if open_tail else 0
-                rows.append((now, n, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), total + tail, made + open_tail))
+                rows.append((now, n, turns_sha.hexdigest(), loss_chars, loss_sha.hexdigest(), total, made))
 
         for batch in batches:
-            for conv, formatted, a, b in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+            for conv, formatted, end, a, b in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if turns_sha is None or conv != now:
                     close()
-                    now, n, chars, loss_chars, total, made = conv, 0, 0, 0, 0, 0
+                    now, n, chars, loss_chars, total, made, last = conv, 0, 0, 0, 0, 0, ""
                     turns_sha, loss_sha = hashlib.sha256(), hashlib.sha256()
-                role, text = parse_turn(formatted)
-                turns_sha.update(f"{role}\n{text}\n".encode())
-                n += 1
-                chars += len(formatted)
-                open_tail = a is None
+                if formatted is not None:
+                    role, text = parse_turn(formatted)
+                    turns_sha.update(f"{role}\n{text}\n".encode())
+                    n, chars, last = n + 1, chars + len(formatted), formatted
+                    continue
+                if end != chars or (a is not None and not chars - len(last) <= a <= b <= chars):
+                    raise ValueError(f"an example of conversation {conv} does not end with its turns")
+                total, made = total + end, made + 1
                 if a is not None:
-                    target = unescape(formatted[a:b])
+                    target = unescape(last[a - chars + len(last) : b - chars + len(last)])
                     loss_sha.update(target.encode())
                     loss_chars += len(target)
-                    total += chars
-                    made += 1
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
+            yield give(rows)
             rows.clear()
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 7, schema.types, strict=True)], schema=schema)
+        yield give(rows)
 
-    sorted_turns = small_batches(turns).select("conv_id", "formatted", "loss_from", "loss_to", "start_char").repartition("conv_id").sortWithinPartitions("conv_id", "start_char")
-    return sorted_turns.drop("start_char").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")
+    none = F.lit(None).cast("bigint")
+    told = turns.select("conv_id", "formatted", none.alias("end_char"), none.alias("loss_from"), none.alias("loss_to"), "start_char", F.lit(0).alias("kind"))
+    asked = (expand(turns) if index is None else index).select("conv_id", F.lit(None).cast("string").alias("formatted"), "end_char", "loss_from", "loss_to", F.col("context_chars").alias("start_char"), F.lit(1).alias("kind"))
+    rows = small_batches(told.unionByName(asked)).repartition("conv_id").sortWithinPartitions("conv_id", "start_char", "kind")
+    return rows.drop("start_char", "kind").mapInArrow(run, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint")

@@ -19,6 +19,7 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,8 @@ def parse(page: str) -> Block:
     """The page's tree of blocks; inline elements are part of their block's text."""
     root = now = Block("html", None, _NONE)
     stack: list[tuple[str, Block | None]] = [("html", root)]  # open elements; a block's, or None for inline ones
+    places: dict[str, list[int]] = {}  # of each tag the places of its open elements in the stack, but the root's
+    endless: set[str] = set()  # raw elements that nothing ends from here on
     at, size, link = 0, len(page), 0
 
     def text(run: str) -> None:
@@ -112,17 +115,20 @@ def parse(page: str) -> Block:
         nonlocal now, link
         while len(stack) > k:
             tag, block = stack.pop()
+            places[tag].pop()
             link -= tag == "a"
             if block is not None:
                 now = block.parent
 
     def find(tags, stops) -> int:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in tags:
-                return k
-            if stack[k][0] in stops:
-                break
-        return 0
+        """The place of the innermost open element of ``tags``, unless one of ``stops`` is further in; else 0."""
+        inmost = lambda some: max((p[-1] for t in some if (p := places.get(t))), default=0)
+        k = inmost(tags)
+        return k if k >= inmost(stops) else 0
+
+    def push(tag: str, block: Block | None) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, block))
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -148,11 +154,13 @@ def parse(page: str) -> Block:
         if tag in ("svg", "math") and m[3].endswith("/") and not _UNQUOTED.search(m[3]):
             continue
         if tag in RAW and tag != "head":
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(page, at)
             if end:
                 at = end.end()
             elif tag in RAW_TEXT:
                 break
+            else:
+                endless.add(tag)
             continue
         if tag in ("html", "head", "body") or tag in VOID:
             if tag in ("br", "hr", "img"):
@@ -172,10 +180,10 @@ def parse(page: str) -> Block:
             block = Block(tag, now, _groups(m[3]) if m[3] else _NONE)
             now.children.append(block)
             now = block
-            stack.append((tag, block))
+            push(tag, block)
         else:
             link += tag == "a"
-            stack.append((tag, None))
+            push(tag, None)
     return root
 
 
@@ -358,6 +366,8 @@ def compose(rng: random.Random, mark: str = "") -> tuple[str, str]:
         return f"<{tag}>{mark}{inline(s)}" + ("" if tag in ("p", "li") and rng.random() < 0.15 else f"</{tag}>")
 
     def body() -> str:
+        if rng.random() < 0.15:  # next to nothing, below which a long footer may stand
+            return (block(words(1, 4), rng.choice(["h1", "h2"])) if rng.random() < 0.75 else "") + "".join(block(rng.choice([words(1, 5), sentence(2, 4)])) for _ in range(rng.choice([1, 1, 1, 2])))
         out = [block(words(3, 12), rng.choice(["h1", "h1", "h2"]))] if rng.random() < 0.8 else []
         for _ in range(rng.choice([1, 2, 3, 5, 8, 14, 30])):
             r = rng.random()
@@ -440,7 +450,9 @@ def _labels(blocks: list[Block]) -> np.ndarray:
     return good
 
 
+@lru_cache(maxsize=4)
 def fit(pages: int = FIT_PAGES, seed: int = 11) -> Boosted:
+    """The model, fitted once in a process."""
     rng, rows, labels = random.Random(seed), [], []
     for _ in range(pages):
         blocks = walk(parse(compose(rng, KEPT)[0]))

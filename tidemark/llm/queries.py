@@ -73,13 +73,14 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.chat import digests, format_turns
+    from tidemark.llm.chat import digests, expand, format_turns
     from tidemark.llm.common import materialize
 
     probe = "</s>[INST] ok [/INST]"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id bigint, turn bigint, role string, text string"))
-    return digests(materialize(format_turns(rows), "chat"))
+    turns = materialize(format_turns(rows), "chat")
+    return digests(turns, materialize(expand(turns), "examples"))
 
 
 def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
