@@ -8,9 +8,13 @@ with the target recall; what lies in them is verified by cosine in double
 precision.  A pair counts when either vector's traversal reaches the other's
 cell, and counts once.
 
-Bounds: codebooks are fitted on at most :data:`FIT_VECTORS` vectors; equal
-vectors are one class with a multiplicity; a cell's vectors and its visitors
-are dealt to blocks of bounded size, so no group grows with the data; a block
+Neighbouring cells make up a block of some :data:`BASE_BLOCK` vectors, and a
+vector goes once to each block that it visits, with the list of its cells there.
+
+Bounds: codebooks are fitted on at most :data:`FIT_VECTORS` vectors; the counts
+of the grid's cells (at most the square of :data:`LARGEST_BOOK`) go to the
+driver; equal vectors are one class with a multiplicity; a block's vectors and
+its visitors are dealt to parts of bounded size, so no group grows with the data; a block
 gives counts, and ties of its nodes to local roots, never all pairs.
 
 Defined cases: vectors that are null, zero, of another length than the most
@@ -148,49 +152,85 @@ def _links(classes: DataFrame, n: int, threshold: float, recall: float) -> DataF
     sample = sample[np.lexsort(sample.T)]  # the rows' order must not matter
     index = MultiIndex(sample, int(np.clip(round((n / PER_CELL) ** 0.5), 1, min(LARGEST_BOOK, len(sample)))), threshold, recall)
 
+    width = len(index.books[1])
+
+    def own_cells(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), 2000):
+                d1, d2 = index.distances(_unit(pdf["v"].iloc[at : at + 2000].tolist()))
+                yield pd.DataFrame({"cell": d1.argmin(1) * width + d2.argmin(1)})
+
+    # neighbouring cells share a block, so that a vector goes once to each block that it visits, not to each cell
+    filled = classes.select("v").mapInPandas(own_cells, "cell bigint").groupBy("cell").count().collect()  # a row for each cell of the grid at most
+    sizes = np.zeros(len(index.books[0]) * width, np.int64)
+    sizes[[r[0] for r in filled]] = [r[1] for r in filled]
+    block_of = (np.cumsum(sizes) - sizes) // BASE_BLOCK
+
     def place(batches):
         for pdf in batches:
             for at in range(0, len(pdf), 2000):
                 part = pdf.iloc[at : at + 2000]
                 own, visited = index.cells(_unit(part["v"].tolist()))
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "mult": part["mult"].to_numpy(), "v": part["v"].to_numpy(), "own": own, "cells": visited})
-
-    placed = materialize(classes.select("rep", "mult", "v").mapInPandas(place, "rep bigint, mult bigint, v array<double>, own bigint, cells array<bigint>"), "placed")
-    asked = placed.select("rep", "mult", "v", "own", F.explode("cells").alias("cell"))
-    base = placed.select("rep", "mult", "v", "own", F.col("own").alias("cell"))
-    sizes = base.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BASE_BLOCK).alias("nb")).join(asked.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("nq")), "cell")
+                asked, cells = [], []
+                for c in visited:
+                    c = np.sort(c[sizes[c] > 0])
+                    to = block_of[c]
+                    edges = np.flatnonzero(np.diff(to, prepend=-1))
+                    asked.append(to[edges])
+                    cells.append([x.tolist() for x in np.split(c, edges[1:])] if len(c) else [])
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "mult": part["mult"].to_numpy(), "v": part["v"].to_numpy(), "own": own, "block": block_of[own], "blocks": asked, "cells": cells})
+
+    placed = materialize(classes.select("rep", "mult", "v").mapInPandas(place, "rep bigint, mult bigint, v array<double>, own bigint, block bigint, blocks array<bigint>, cells array<array<bigint>>"), "placed")
+    to = placed.select("rep", "mult", "v", "own", F.explode(F.arrays_zip("blocks", "cells")).alias("to"))
+    asked = to.select("rep", "mult", "v", "own", F.col("to.blocks").alias("block"), F.col("to.cells").alias("cells"))
+    base = placed.select("rep", "mult", "v", "own", "block", F.array().cast("array<bigint>").alias("cells"))
+    visits = placed.select(F.explode("blocks").alias("block")).groupBy("block").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).alias("nq"))
+    parts = base.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / (2 * BASE_BLOCK)).alias("nb")).join(visits, "block")
     deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
-    asked, base = asked.join(sizes, "cell"), base.join(sizes, "cell")
+    asked, base = asked.join(parts, "block"), base.join(parts, "block")
     both = asked.withColumn("b", each("nb")).withColumn("q", deal("nq")).withColumn("asks", F.lit(True)).unionByName(base.withColumn("q", each("nq")).withColumn("b", deal("nb")).withColumn("asks", F.lit(False)))
 
     def verify(pdf: pd.DataFrame) -> pd.DataFrame:
         asks = pdf["asks"].to_numpy(bool)
-        q, b = pdf[asks], pdf[~asks]
+        q, b = pdf[asks], pdf[~asks].sort_values("own", kind="stable")
         empty = pd.DataFrame({"u": [], "v": [], "n": []}).astype("int64")
         if not len(q) or not len(b):
             return empty
         qx, bx = _unit(q["v"].tolist()), _unit(b["v"].tolist())
         qi, bi = q["rep"].to_numpy(), b["rep"].to_numpy()
         qm, bm = q["mult"].to_numpy(), b["mult"].to_numpy()
-        cells, at = np.unique(q["own"].to_numpy(), return_inverse=True)
-        silent = ~index.visits(bx, cells)  # base vectors that do not ask this visitor's cell themselves
+        own, at = np.unique(q["own"].to_numpy(), return_inverse=True)
+        in_cell = b["own"].to_numpy()
         got_q, got_b, ties = np.zeros(len(q), np.int64), np.zeros(len(b), np.int64), []
-        for k in range(0, len(q), 256):
-            s = slice(k, k + 256)
-            link = (qx[s] @ bx.T >= threshold) & (qi[s, None] != bi[None])
-            got_q[s] = link @ bm
-            got_b += (link & silent[:, at[s]].T).T @ qm[s]
-            i, j = np.nonzero(link)
-            if len(i):
-                ties.append(_ties(qi[s][i], bi[j]))
+        lists = q["cells"].tolist()
+        cells, row = np.concatenate([np.asarray(x, np.int64) for x in lists]), np.repeat(np.arange(len(q)), [*map(len, lists)])
+        order = np.argsort(cells, kind="stable")
+        cells, row = cells[order], row[order]
+        edges = np.append(np.flatnonzero(np.diff(cells, prepend=-1)), len(cells))
+        for first, last in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            lo, hi = np.searchsorted(in_cell, [cells[first], cells[first] + 1])
+            if lo == hi:
+                continue
+            x, mult = bx[lo:hi], bm[lo:hi]
+            for k in range(first, last, 256):
+                s = row[k : min(k + 256, last)]
+                link = (qx[s] @ x.T >= threshold) & (qi[s, None] != bi[None, lo:hi])
+                if not link.any():
+                    continue
+                got_q[s] += link @ mult
+                silent = ~index.visits(x, own[at[s]])  # base vectors that do not ask this visitor's cell themselves
+                got_b[lo:hi] += (link & silent.T).T @ qm[s]
+                i, j = np.nonzero(link)
+                ties.append(_ties(qi[s][i], bi[lo:hi][j]))
         ids, counts = np.concatenate([qi, bi]), np.concatenate([got_q, got_b])
         held = counts > 0
         out = [pd.DataFrame({"u": ids[held], "v": ids[held], "n": counts[held]})]
-        out += [pd.DataFrame({"u": u, "v": r, "n": 0}) for u, r in ties]
-        return pd.concat(out) if ties or held.any() else empty
+        if ties:
+            out.append(pd.concat([pd.DataFrame({"u": u, "v": r, "n": 0}) for u, r in ties]).drop_duplicates())
+        return pd.concat(out) if held.any() else empty
 
-    found = materialize(both.groupBy("cell", "b", "q").applyInPandas(verify, "u bigint, v bigint, n bigint"), "links")
+    found = materialize(both.groupBy("block", "b", "q").applyInPandas(verify, "u bigint, v bigint, n bigint"), "links")
     counts = found.groupBy(F.col("u").alias("rep")).agg(F.sum("n").alias("links"))
     return counts.join(components(found.where("u <> v"), "u", "v").withColumnRenamed("node", "rep"), "rep", "left")
 
