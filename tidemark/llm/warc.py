@@ -18,6 +18,7 @@ url are percent-encoded; an empty table gives an archive without files.
 from __future__ import annotations
 
 import base64
+import contextlib
 import hashlib
 import uuid
 import zlib
@@ -25,16 +26,17 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, shared_uri, small_batches
+from tidemark.llm.common import discard, materialize, shared_uri, small_batches
 
 #: Payload bytes of a shard, about; compressed bytes after which a file is rolled.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 64 << 20
-#: Ids that shard bounds are taken from, at most (about); and so shards, a quarter of them at most.
-BOUND_IDS = 20_000
+#: Shards at most, which grow beyond; bounds are taken from about so many ids, or so many for each shard.
+MOST_SHARDS, BOUND_IDS, IDS_FOR_EACH = 50_000, 20_000, 16
 LEVEL = 3
 #: The archive must not depend on when it is written.
 DATE = "1970-01-01T00:00:00Z"
@@ -64,10 +66,13 @@ def _bounds(pages: DataFrame) -> np.ndarray:
     total = pages.agg(F.count("page_id").alias("n"), F.sum(F.length("payload")).alias("b")).first()
     if not total.n:
         return np.zeros(0, np.int64)
-    hashed = F.pmod(F.xxhash64("page_id"), F.lit(1_000_003))
-    some = pages.where(F.col("page_id").isNotNull() & (hashed < min(1.0, BOUND_IDS / total.n) * 1_000_003)).select("page_id").collect()
-    ids = np.sort(np.array([r.page_id for r in some], np.int64))
-    shards = int(min(-(-(total.b or 0) // SHARD_BYTES), len(ids) // 4))
+    shards = int(min(-(-(total.b or 0) // SHARD_BYTES), MOST_SHARDS))
+    if shards < 2:
+        return np.zeros(0, np.int64)
+    hashed = F.pmod(F.xxhash64("page_id"), F.lit(1_000_000_007))
+    some = pages.where(F.col("page_id").isNotNull() & (hashed < min(1.0, max(BOUND_IDS, IDS_FOR_EACH * shards) / total.n) * 1_000_000_007)).select("page_id")
+    ids = np.sort(some.toArrow().column(0).to_numpy())
+    shards = min(shards, len(ids))
     return np.unique(ids[(np.arange(1, shards) * len(ids)) // shards]) if shards > 1 else np.zeros(0, np.int64)
 
 
@@ -84,14 +89,12 @@ def write_archive(df: DataFrame, out: str, key: str = "page_id", url: str = "url
     def shard_of(ids: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(bounds, ids.fillna(np.iinfo(np.int64).min).to_numpy(np.int64), side="right").astype(np.int32))
 
-    dealt = pages.withColumn("shard", shard_of("page_id")).repartition(len(bounds) + 1, "shard")
+    dealt = pages.withColumn("shard", shard_of("page_id")).repartitionById(len(bounds) + 1, F.col("shard"))
     dealt = dealt.withColumn("same", F.sha1("payload"))
     dealt = dealt.join(revisits.withColumnRenamed("page_id", "id"), (F.col("page_id") == F.col("id")) & (F.col("same") == F.col("same_as")), "left").sortWithinPartitions("shard", "page_id", "same", "url")
     schema = pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())])
 
     def write(batches):
-        from pyarrow import fs
-
         where, root = fs.FileSystem.from_uri(out)
         where.create_dir(f"{root}/temporary", recursive=True)
         done: list[tuple] = []
@@ -105,9 +108,11 @@ def write_archive(df: DataFrame, out: str, key: str = "page_id", url: str = "url
                 return
             sink.close()
             sink, name = None, f"shard-{now:06d}-{part:04d}.warc.gz"
-            if where.get_file_info(f"{root}/{name}").type != fs.FileType.NotFound:
-                where.delete_file(f"{root}/{name}")  # of an earlier attempt, with the same bytes
-            where.move(temp, f"{root}/{name}")
+            there = where.get_file_info(f"{root}/{name}")
+            if there.type != fs.FileType.NotFound and there.size == size:
+                where.delete_file(temp)  # an earlier attempt has left the same bytes
+            else:
+                where.move(temp, f"{root}/{name}")
             done.append((name, records, size, sha.hexdigest()))
             part += 1
 
@@ -134,6 +139,10 @@ def write_archive(df: DataFrame, out: str, key: str = "page_id", url: str = "url
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True) if done else [[]] * 4, schema.types, strict=True)], schema=schema)
 
     dealt.mapInArrow(write, _MANIFEST).write.parquet(f"{out}/manifest")
+    discard(revisits)
+    where, root = fs.FileSystem.from_uri(out)
+    with contextlib.suppress(FileNotFoundError):
+        where.delete_dir(f"{root}/temporary")
     return read_manifest(df.sparkSession, out)
 
 
@@ -182,8 +191,6 @@ def read_archive(spark: SparkSession, out: str, payloads: bool = False) -> DataF
     number = lambda s: int(x) if (x := s.removeprefix("<urn:page:").removesuffix(">")) else None
 
     def read(batches):
-        from pyarrow import fs
-
         where, root = fs.FileSystem.from_uri(out)
         for batch in batches:
             for name in batch.column(0).to_pylist():
