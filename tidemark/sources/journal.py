@@ -61,7 +61,7 @@ class Piece(InputPartition):
 
 
 def pieces(path: str, size: int, form: FrameFormat, split: int = SPLIT_BYTES) -> list[Piece]:
-    """Ranges of whole frames of about ``split`` bytes; what cannot be hopped over is left to the last one."""
+    """Ranges of whole frames of about ``split`` bytes; what cannot be walked over is left to the last one."""
     if size <= split:
         return [Piece(path, 0, None, 0)]
     marks = read_index(path, size, form)
