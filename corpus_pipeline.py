@@ -43,7 +43,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 4096."""
     path = vocabulary("word_bpe_49k.json")
-    return packing.pack(docs, lambda: packing.WordEncoder(path, end=2))
+    return packing.pack(docs, lambda: packing.word_encoder(path, end=2))
 
 
 STAGES = [("language_id", language_stage), ("quality_rules", quality_stage), ("ngram_join", near_duplicate_stage), ("packing", packing_stage)]

@@ -81,6 +81,25 @@ def test_word_encoder_equals_library():
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids + [2] for e in library.encode_batch(own, add_special_tokens=False)]
 
 
+def test_word_pieces_of_any_size_and_odd_letters(monkeypatch):
+    import random
+
+    r = random.Random(3)
+    odd = [*" \t\n\r\x0b\x0c\x85\xa0\u3000\u0301\u030caeijIJéÉßİΣς×÷'st.,!7٣<|>)\"你𝒳", "<|endoftext|>", "'ll", "  ", "Word", " a"]
+    own = ["".join(r.choices(odd, k=r.randint(0, 40))) for _ in range(3000)] + ["", " ", "\n"]
+    library = Tokenizer.from_file(WORD)
+    library.no_truncation()
+    want = [e.ids + [2] for e in library.encode_batch(own, add_special_tokens=False)]
+    for size in (packing.PIECE_BYTES, 100, 7):
+        monkeypatch.setattr(packing, "PIECE_BYTES", size)
+        got = packing.WordEncoder(WORD, 2)(own)
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 50)  # nothing is remembered for long
+    encoder = packing.WordEncoder(WORD, 2)
+    assert [np.frombuffer(x, "<u4").tolist() for k in range(0, len(own), 5) for x in encoder(own[k : k + 5])] == want
+    assert encoder([None, ""]) == [(2).to_bytes(4, "little")] * 2 and encoder([]) == []
+
+
 def test_whole_table_equals_libraries(spark):
     """op4, op6 and op9 over all documents against the libraries themselves."""
     import pyarrow.parquet as pq

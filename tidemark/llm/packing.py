@@ -21,18 +21,20 @@ rows are packed as often as they occur.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MEMO_ENTRIES, small_batches
+from tidemark.llm.common import MEMO_ENTRIES, PIECE_BYTES, small_batches
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group: as many sequences of a tier as make this up.
@@ -41,88 +43,139 @@ STEP_TOKENS = 65_536
 _LOCAL_BITS = 36
 #: Of these a step group's number within its length; the length's rank above.
 _GROUP_BITS = 30
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+_LATIN = re.compile("[\0-\xff]*").fullmatch
+#: Punctuation that ends a word of letters and begins no contraction or special token.
+_MARKS = b'.,;:!?)"'
+#: Kinds of bytes: white, ASCII letters, marks, second bytes of the letters from U+00C0 to U+00FF, first bytes above U+00FF.
+_WHITE, _LETTER, _MARK, _TAIL, _HIGH = range(1, 6)
+_KIND = np.zeros(256, np.uint8)
+_KIND[[*b" \t\n\v\f\r"]] = _WHITE
+_KIND[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
+_KIND[[*_MARKS]] = _MARK
+_KIND[[c for c in range(0x80, 0xC0) if chr(c + 0x40).isalpha()]] = _TAIL
+_KIND[0xC4:] = _HIGH
+
+
+def _pieces(texts: list | pa.Array) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
+    """The texts' words, dictionary-encoded, and the text's number of each word,
+    in pieces of some :data:`PIECE_BYTES`; a text without bytes has no word.
+
+    A word ends after a white byte, with its text, and between a Latin letter and
+    one of :data:`_MARKS`, where the vocabulary's pattern always parts.  Its ASCII
+    letters are lowered, but for words whose letters normalisation may join with
+    others (above U+00FF) and what might be a special token.  Pieces end with a
+    word, so a text of any length is looked at in turns.
+    """
+    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    array = array if array.type == pa.string() else array.cast(pa.string())
+    array = array.fill_null("") if array.null_count else array
+    if not len(array):
+        return
+    at = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    lo, end = int(at[0]), int(at[-1])
+    data = array.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if lo < end else None
+    while lo < end:
+        hi = min(lo + PIECE_BYTES, end)
+        if hi < end:
+            stop = int(at[np.searchsorted(at, hi)])
+            gap = _GAP.search(memoryview(data), hi, stop)
+            hi = gap.end() if gap else stop
+        piece, own = flat[lo:hi], at[(at >= lo) & (at < hi)] - lo
+        kind = _KIND[piece]
+        first = np.zeros(hi - lo + 1, bool)  # where words start, and the end
+        first[0] = first[own] = first[-1] = True
+        first[1:] |= kind == _WHITE
+        mark = np.flatnonzero(kind == _MARK)
+        mark = mark[mark > 1]
+        latin = (piece[mark - 2] == 0xC3) & (kind[mark - 1] == _TAIL)
+        first[mark[latin | (kind[mark - 1] == _LETTER)]] = True
+        bounds = np.flatnonzero(first)
+        low = np.where(kind == _LETTER, piece | np.uint8(32), piece)
+        apart = kind == _HIGH
+        apart[:-1] |= (piece[:-1] == ord("<")) & (piece[1:] == ord("|"))
+        if apart.any():
+            keep = np.repeat(np.logical_or.reduceat(apart, bounds[:-1]), np.diff(bounds))
+            low[keep] = piece[keep]
+        rows = np.searchsorted(at, bounds[:-1] + lo, "right") - 1
+        words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(low))
+        yield words.dictionary_encode(), rows
+        lo = hi
 
 
 class WordEncoder:
     """Ids of a tokenizers file that drops white space and marks the ends of words.
 
-    A text's space-separated chunks are remembered; a new chunk is cut into words,
-    which are remembered too, and all new words of a batch go to the library as
-    one text, whose ids part after each end of a word.  A chunk with characters
-    above U+00FF, which normalisation may change, or with what might be a special
-    token, goes to the library as it is.
+    Texts are cut into words by array operations, and the words of a piece are
+    dictionary-encoded, so that Python sees each of them once for a piece.  Their
+    ids are remembered.  New words of Latin letters alone go to the library
+    together as one text, whose ids part after each end of a word; other new
+    words, which may be several to the library, go as they are.
     """
 
     def __init__(self, path: str, end: int | None = None):
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         suffix = spec["model"]["end_of_word_suffix"]
-        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
         self.ends = np.zeros(max(spec["model"]["vocab"].values()) + 1, bool)
         self.ends[[v for k, v in spec["model"]["vocab"].items() if k.endswith(suffix)]] = True
-        inside = lambda c: "".join(re.escape(chr(k)) for k in range(256) if regex.fullmatch(c, chr(k)))
-        letter, number, space = map(inside, (r"\p{L}", r"\p{N}", r"\s"))
-        latin = pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letter}{number}]").replace(r"[\p{L}]", f"[{letter}]").replace(r"[\p{N}]", f"[{number}]")
-        self.find, self.simple = re.compile(latin).findall, re.compile(r"(?!.*<\|)[\0-\xff]*", re.DOTALL).fullmatch
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.end = b"" if end is None else int(end).to_bytes(4, "little")
-        self.chunks, self.old_chunks, self.words, self.old_words = {}, {}, {}, {}
+        self.known, self.old = {}, {}
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def _new_words(self, new: list[str]) -> None:
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-            cut = 4 * (np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1)
+    def _learn(self, words: list[str]) -> None:
+        """Makes sure that all of ``words``, which are distinct, are remembered."""
+        known, old = self.known, self.old
+        new = [w for w in words if w not in known]
+        if len(known) + len(new) > MEMO_ENTRIES:  # the young memo becomes the old one
+            self.old, self.known = old, known = known, {}
+            new = words
+        known.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in known]
+        plain = [w for w in new if w.isalpha() and _LATIN(w)]
+        for at in range(0, len(plain), 4096):
+            part = plain[at : at + 4096]
+            (flat,) = self._library([" ".join(part)])
+            cut = (4 * (np.flatnonzero(self.ends[np.frombuffer(flat, "<u4")]) + 1)).tolist()
             if len(cut) == len(part):
-                flat = ids.tobytes()
-                self.words.update(zip(part, (flat[a:b] for a, b in zip([0, *cut[:-1].tolist()], cut.tolist(), strict=True)), strict=True))
-            else:  # the text of all words did not part into them
-                self.words.update(zip(part, self._library(part), strict=True))
-
-    def _learn(self, texts: list[list[str]]) -> None:
-        """Makes sure that all chunks of ``texts`` are remembered."""
-        known = self.chunks
-        new = {c for x in texts for c in x if c not in known}
-        if len(known) + len(new) > MEMO_ENTRIES // 2:  # the young memo becomes the old one
-            self.old_chunks, self.chunks = known, (known := {})
-            new = {c for x in texts for c in x}
-        if len(self.words) > MEMO_ENTRIES // 4:
-            self.old_words, self.words = self.words, {}
-        old, cut, hard = self.old_chunks, {}, []
-        for c in new:
-            if c in old:
-                known[c] = old[c]
-            elif c.isascii() and c.isalpha():
-                cut[c] = (c.lower(),)
-            elif c.isascii() and c[-1:] in (".", ",") and c[:-1].isalpha():
-                cut[c] = (c[:-1].lower(), c[-1])
-            elif self.simple(c):
-                cut[c] = self.find(c.lower())
-            else:
-                hard.append(c)
-        words, old = self.words, self.old_words
-        fresh = {w for x in cut.values() for w in x if w not in words}
-        words.update((w, old[w]) for w in fresh if w in old)
-        self._new_words([w for w in fresh if w not in words])
-        get = words.__getitem__
-        for c, x in cut.items():
-            known[c] = get(x[0]) if len(x) == 1 else b"".join(map(get, x))
-        known.update(zip(hard, self._library(hard), strict=True))
-
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+                known.update(zip(part, (flat[a:b] for a, b in zip([0, *cut[:-1]], cut, strict=True)), strict=True))
+        other = [w for w in new if w not in known]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            known.update(zip(part, self._library(part), strict=True))
+
+    def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
-        cut = [x.split(" ") if x else [] for x in texts]
-        self._learn(cut)
-        got = self.chunks.__getitem__
-        return [b"".join(map(got, x)) + self.end for x in cut]
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        for words, rows in _pieces(texts):
+            names = pc.ascii_rtrim_whitespace(words.dictionary).to_pylist()
+            self._learn([*dict.fromkeys(names)])
+            found = [*map(self.known.__getitem__, names)]
+            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+            flat, index = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+            n = size[index]
+            ends = np.cumsum(n)
+            ids = flat[np.repeat((np.cumsum(size) - size)[index] - (ends - n), n) + np.arange(ends[-1])]
+            first = np.flatnonzero(np.diff(rows, prepend=-1))  # each text's first word here
+            cuts = [*(ends - n)[first].tolist(), len(ids)]
+            for k, i, j in zip(rows[first].tolist(), cuts, cuts[1:], strict=False):
+                out[k].append(ids[i:j].tobytes())
+        return [b"".join(x) + self.end for x in out]
+
+
+@functools.lru_cache(1)
+def word_encoder(path: str, end: int | None = None) -> WordEncoder:
+    """One encoder for all tasks of a worker process: what it remembers depends on
+    the vocabulary alone."""
+    return WordEncoder(path, end)
 
 
 class Packer:
@@ -210,11 +263,11 @@ def pack(df: DataFrame, make_encoder: Callable[[], Callable[[list], list[bytes]]
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip([*cols[:3], ids, *cols[4:], group], schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for k, ids in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist()), strict=True):
-                    packer.add(k, ids)
-                yield give()
+            for at, (k, ids) in enumerate(zip(batch.column(0).to_pylist(), encoder(batch.column(1).to_pylist()), strict=True), 1):
+                packer.add(k, ids)
+                if at % 256 == 0:
+                    yield give()
+            yield give()
         packer.finish()
         yield give()
 

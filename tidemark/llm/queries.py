@@ -90,10 +90,10 @@ def op6_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.llm.packing import WordEncoder, pack
+    from tidemark.llm.packing import pack, word_encoder
 
     path = vocabulary("word_bpe_49k.json")
-    return pack(table(spark, sf_dir, "documents"), lambda: WordEncoder(path, end=2), digests=True)
+    return pack(table(spark, sf_dir, "documents"), lambda: word_encoder(path, end=2), digests=True)
 
 
 def queries() -> dict[str, Query]:
