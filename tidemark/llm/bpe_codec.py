@@ -14,6 +14,7 @@ tokenizers library does by default; ids decode back to the very bytes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import mmap
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Memo, materialize, shared_uri, small_batches
+from tidemark.llm.common import MEMO_ENTRIES, Memo, join_ids, marks_after_letters, materialize, shared_uri, small_batches, word_pieces
 
 #: Fixed value: the pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -34,7 +35,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEXICON_WORDS = 65_536
 #: Words counted in a task before its counts are passed on.
 COUNT_FLUSH = 400_000
-_RUN = re.compile(r"\s (?!\S)").search
+#: Before a space between such characters a word starts.
+_GAP = re.compile(rb"[0-9A-Za-z.,;:!?](?= [0-9A-Za-z])")
 #: Longer words are merged, not remembered.
 LONGEST_WORD = 48
 
@@ -46,13 +48,20 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
-def chunks(text: str) -> list[str]:
-    """Cut before single spaces, where a word always starts; the whole text if a
-    space stands between other white space, where that is not so."""
-    if _RUN(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + c for c in rest]]
+def word_starts(piece: np.ndarray) -> np.ndarray:
+    """Where the pattern surely parts a text: between a letter and a mark, and
+    before a space of which one neighbour is surely not white.  (A space between
+    white ones belongs to their run; ``<`` may begin a special token, which ends a
+    run as the text's end does.)"""
+    sure = (piece > 32) & (piece < 127)
+    before, after = np.zeros(len(piece), bool), np.zeros(len(piece), bool)
+    before[1:] = sure[:-1]
+    before[2:] |= (piece[:-2] == 0xC3) & (piece[1:-1] >= 0x80)
+    after[:-1] = (sure[1:] & (piece[1:] != ord("<"))) | (piece[1:] == 0xC3)
+    first = np.zeros(len(piece) + 1, bool)
+    first[:-1] = (piece == 32) & (before | after)
+    first[marks_after_letters(piece)] = True
+    return first
 
 
 def _latin(regex):
@@ -239,16 +248,18 @@ def frequent_words(df: DataFrame, tokenizer: str, text: str = "text", top: int =
         def give():
             found: Counter = Counter()
             for c, n in seen.items():
-                for w in bpe.find(c):
-                    if len(w) <= LONGEST_WORD:
-                        found[w] += n
+                for part in bpe.split(c):
+                    for w in bpe.find(part) if part not in bpe.special else ():
+                        if len(w) <= LONGEST_WORD:
+                            found[w] += n
             seen.clear()
             return pa.RecordBatch.from_arrays([pa.array([*found], pa.string()), pa.array([*found.values()], pa.int64())], ["word", "n"])
 
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                for part in bpe.split(x or ""):
-                    seen.update(chunks(part))
+            for words, _ in word_pieces(batch.column(0), word_starts, _GAP):
+                times = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
+                for c, n in zip(words.dictionary.to_pylist(), times.tolist(), strict=True):
+                    seen[c] += n
                 if len(seen) >= COUNT_FLUSH:
                     yield give()
         yield give()
@@ -282,29 +293,42 @@ class Codec:
         self.bpe = ByteBPE(tokenizer)
         self.lexicon = Lexicon(open_mapped(lexicon)) if lexicon else None
         self.special = {k: int(v).to_bytes(4, "little") for k, v in self.bpe.special.items()}
-        self.word = Memo(self._word, LONGEST_WORD).__getitem__
-        self.chunk = Memo(lambda c: b"".join(map(self.word, self.bpe.find(c))), LONGEST_WORD).__getitem__
+        # nearly all chunks are single words, so words of their own are few
+        self.word = Memo(self._word, LONGEST_WORD, MEMO_ENTRIES // 2).__getitem__
+        self.chunk = Memo(self._chunk, LONGEST_WORD, 3 * MEMO_ENTRIES // 2).__getitem__
+
+    def _chunk(self, chunk: str) -> bytes:
+        parts = self.bpe.split(chunk) if "<" in chunk else [chunk]
+        if len(parts) == 1 and len(self.bpe.find(chunk)) == 1:
+            return self._word(chunk)
+        return b"".join(self.special[p] if p in self.special else b"".join(map(self.word, self.bpe.find(p))) for p in parts)
 
     def _word(self, word: str) -> bytes:
         raw = word.encode("utf-8", "surrogatepass")
         got = self.lexicon.get(raw) if self.lexicon else None
         return np.asarray(self.bpe.merge(raw), "<u4").tobytes() if got is None else got
 
+    def encode_all(self, texts: list[str | None] | pa.Array) -> list[bytes]:
+        """The ids of each text; Python sees each chunk once for a piece of the texts."""
+        out: list[list[bytes]] = [[] for _ in range(len(texts))]
+        for words, rows in word_pieces(texts, word_starts, _GAP):
+            for k, ids in join_ids(words, [*map(self.chunk, words.dictionary.to_pylist())], rows):
+                out[k].append(ids)
+        return [b"".join(x) for x in out]
+
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        out = []
-        for part in self.bpe.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out.extend(map(self.chunk, chunks(part)))
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.bpe.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
+@functools.lru_cache(1)
+def shared_codec(tokenizer: str, lexicon: str) -> Codec:
+    """One codec for all tasks of a worker process; a lexicon's file never changes."""
+    return Codec(tokenizer, lexicon)
+
+
 def encode_decode(df: DataFrame, tokenizer: str, lexicon: str | None = None, key: str = "doc_id", text: str = "text", digests: bool = False) -> DataFrame:
     """``key``, ids (little-endian 32-bit) and decoded of every text; with
     ``digests`` instead n_tokens, ids_sha256 and decoded_sha256.  Without a
@@ -316,15 +340,15 @@ def encode_decode(df: DataFrame, tokenizer: str, lexicon: str | None = None, key
     kinds += [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] if digests else [("ids", pa.binary()), ("decoded", pa.string())]
 
     def make():
-        codec = Codec(tokenizer, lexicon)
+        codec = shared_codec(tokenizer, lexicon)
         sha = lambda b: hashlib.sha256(b).hexdigest()
 
         def work(ids, texts):
-            coded = [codec.encode(x) for x in texts]
+            coded = codec.encode_all(texts)
             back = [codec.decode(x) for x in coded]
             pair = [[*map(sha, coded)], [sha(x.encode()) for x in back]] if digests else [coded, back]
             return [ids, [len(x) // 4 for x in coded], *pair]
 
         return work
 
-    return _mapped(df, key, text, kinds, make)
+    return _mapped(df, key, text, kinds, make, step=4096)

@@ -25,7 +25,16 @@ MEMO_ENTRIES = 500_000
 #: Of longer texts so many bytes are looked at together.
 PIECE_BYTES = 1 << 22
 _WHITE = " \t\n\x0b\x0c\r"
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
+GAP = re.compile(rb"[\x20\x09-\x0d]")
+#: Kinds of bytes: white, ASCII letters, punctuation that begins no contraction or
+#: special token, second bytes of the letters from U+00C0 to U+00FF, first bytes above U+00FF.
+WHITE, LETTER, MARK, TAIL, HIGH = range(1, 6)
+KIND = np.zeros(256, np.uint8)
+KIND[[*b" \t\n\v\f\r"]] = WHITE
+KIND[[c for c in range(128) if chr(c).isalpha()]] = LETTER
+KIND[[*b'.,;:!?)"']] = MARK
+KIND[[c for c in range(0x80, 0xC0) if chr(c + 0x40).isalpha()]] = TAIL
+KIND[0xC4:] = HIGH
 
 
 def shared_uri(spark: SparkSession, name: str) -> str:
@@ -82,6 +91,62 @@ def over_rows(columns: list[str], schema: pa.Schema, make: Callable[[], Callable
     return run
 
 
+def marks_after_letters(piece: np.ndarray) -> np.ndarray:
+    """Where a mark follows a letter below U+0100."""
+    kind = KIND[piece]
+    mark = np.flatnonzero(kind == MARK)
+    mark = mark[mark > 1]
+    return mark[(kind[mark - 1] == LETTER) | (piece[mark - 2] == 0xC3) & (kind[mark - 1] == TAIL)]
+
+
+def word_pieces(texts: list | pa.Array, starts: Callable, gap: re.Pattern, size: int = PIECE_BYTES, change: Callable | None = None) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
+    """The texts' words, dictionary-encoded, and the text's number of each word,
+    in pieces of some ``size`` bytes; a text without bytes has no word.
+
+    ``starts`` gives from a piece's bytes where words start (one flag more than
+    bytes), ``change`` from bytes and bounds what is encoded instead.  Texts part
+    words too.  Pieces end with a text or with a match of ``gap``, after which a
+    word must start, so a text of any length is looked at in turns."""
+    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+    array = array if array.type == pa.string() else array.cast(pa.string())
+    array = array.fill_null("") if array.null_count else array
+    if not len(array):
+        return
+    at = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    lo, end = int(at[0]), int(at[-1])
+    data = array.buffers()[2]
+    flat = np.frombuffer(data, np.uint8) if lo < end else None
+    while lo < end:
+        hi = min(lo + size, end)
+        if hi < end:
+            stop = int(at[np.searchsorted(at, hi)])
+            found = gap.search(memoryview(data), hi, stop)
+            hi = found.end() if found else stop
+        piece = flat[lo:hi]
+        first = starts(piece)
+        first[0] = first[at[(at >= lo) & (at < hi)] - lo] = first[-1] = True
+        bounds = np.flatnonzero(first)
+        rows = np.searchsorted(at, bounds[:-1] + lo, "right") - 1
+        piece = change(piece, bounds) if change else piece
+        words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(piece))
+        yield words.dictionary_encode(), rows
+        lo = hi
+
+
+def join_ids(words: pa.DictionaryArray, found: list[bytes], rows: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(text's number, ids of its words) of a piece; ``found`` are the little-endian
+    32-bit ids of the dictionary's words."""
+    size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    flat, index = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
+    n = size[index]
+    ends = np.cumsum(n)
+    ids = flat[np.repeat((np.cumsum(size) - size)[index] - (ends - n), n) + np.arange(ends[-1])]
+    first = np.flatnonzero(np.diff(rows, prepend=-1))
+    cuts = [*(ends - n)[first].tolist(), len(ids)]
+    for k, i, j in zip(rows[first].tolist(), cuts, cuts[1:], strict=False):
+        yield k, ids[i:j].tobytes()
+
+
 def white_chars(text: str) -> int:
     return sum(text.count(c) for c in _WHITE)
 
@@ -135,7 +200,7 @@ class WordHasher:
         if len(raw) <= PIECE_BYTES:
             return self._piece(raw)
         cuts = [0]
-        while m := _GAP.search(raw, cuts[-1] + PIECE_BYTES):
+        while m := GAP.search(raw, cuts[-1] + PIECE_BYTES):
             cuts.append(m.end())
         return np.concatenate([self._piece(raw[i:j]) for i, j in zip(cuts, [*cuts[1:], len(raw)], strict=True)])
 

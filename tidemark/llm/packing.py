@@ -25,7 +25,7 @@ import functools
 import json
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import MEMO_ENTRIES, PIECE_BYTES, small_batches
+from tidemark.llm.common import GAP, HIGH, KIND, LETTER, MEMO_ENTRIES, PIECE_BYTES, WHITE, join_ids, marks_after_letters, small_batches, word_pieces
 
 TIERS = (512, 1024, 2048, 4096)
 #: Tokens of a step group: as many sequences of a tier as make this up.
@@ -43,65 +43,29 @@ STEP_TOKENS = 65_536
 _LOCAL_BITS = 36
 #: Of these a step group's number within its length; the length's rank above.
 _GROUP_BITS = 30
-_GAP = re.compile(rb"[\x20\x09-\x0d]")
 _LATIN = re.compile("[\0-\xff]*").fullmatch
-#: Punctuation that ends a word of letters and begins no contraction or special token.
-_MARKS = b'.,;:!?)"'
-#: Kinds of bytes: white, ASCII letters, marks, second bytes of the letters from U+00C0 to U+00FF, first bytes above U+00FF.
-_WHITE, _LETTER, _MARK, _TAIL, _HIGH = range(1, 6)
-_KIND = np.zeros(256, np.uint8)
-_KIND[[*b" \t\n\v\f\r"]] = _WHITE
-_KIND[[c for c in range(128) if chr(c).isalpha()]] = _LETTER
-_KIND[[*_MARKS]] = _MARK
-_KIND[[c for c in range(0x80, 0xC0) if chr(c + 0x40).isalpha()]] = _TAIL
-_KIND[0xC4:] = _HIGH
-
-
-def _pieces(texts: list | pa.Array) -> Iterator[tuple[pa.DictionaryArray, np.ndarray]]:
-    """The texts' words, dictionary-encoded, and the text's number of each word,
-    in pieces of some :data:`PIECE_BYTES`; a text without bytes has no word.
-
-    A word ends after a white byte, with its text, and between a Latin letter and
-    one of :data:`_MARKS`, where the vocabulary's pattern always parts.  Its ASCII
-    letters are lowered, but for words whose letters normalisation may join with
-    others (above U+00FF) and what might be a special token.  Pieces end with a
-    word, so a text of any length is looked at in turns.
-    """
-    array = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
-    array = array if array.type == pa.string() else array.cast(pa.string())
-    array = array.fill_null("") if array.null_count else array
-    if not len(array):
-        return
-    at = np.frombuffer(array.buffers()[1], np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
-    lo, end = int(at[0]), int(at[-1])
-    data = array.buffers()[2]
-    flat = np.frombuffer(data, np.uint8) if lo < end else None
-    while lo < end:
-        hi = min(lo + PIECE_BYTES, end)
-        if hi < end:
-            stop = int(at[np.searchsorted(at, hi)])
-            gap = _GAP.search(memoryview(data), hi, stop)
-            hi = gap.end() if gap else stop
-        piece, own = flat[lo:hi], at[(at >= lo) & (at < hi)] - lo
-        kind = _KIND[piece]
-        first = np.zeros(hi - lo + 1, bool)  # where words start, and the end
-        first[0] = first[own] = first[-1] = True
-        first[1:] |= kind == _WHITE
-        mark = np.flatnonzero(kind == _MARK)
-        mark = mark[mark > 1]
-        latin = (piece[mark - 2] == 0xC3) & (kind[mark - 1] == _TAIL)
-        first[mark[latin | (kind[mark - 1] == _LETTER)]] = True
-        bounds = np.flatnonzero(first)
-        low = np.where(kind == _LETTER, piece | np.uint8(32), piece)
-        apart = kind == _HIGH
-        apart[:-1] |= (piece[:-1] == ord("<")) & (piece[1:] == ord("|"))
-        if apart.any():
-            keep = np.repeat(np.logical_or.reduceat(apart, bounds[:-1]), np.diff(bounds))
-            low[keep] = piece[keep]
-        rows = np.searchsorted(at, bounds[:-1] + lo, "right") - 1
-        words = pa.StringArray.from_buffers(len(bounds) - 1, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(low))
-        yield words.dictionary_encode(), rows
-        lo = hi
+
+
+def _starts(piece: np.ndarray) -> np.ndarray:
+    """Where words start: after a white byte and, since the vocabulary's pattern
+    always parts there, between a Latin letter and a mark."""
+    first = np.zeros(len(piece) + 1, bool)
+    first[1:] = KIND[piece] == WHITE
+    first[marks_after_letters(piece)] = True
+    return first
+
+
+def _lowered(piece: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """ASCII letters lowered, but for words whose letters normalisation may join
+    with others (above U+00FF) and what might be a special token."""
+    kind = KIND[piece]
+    low = np.where(kind == LETTER, piece | np.uint8(32), piece)
+    apart = kind == HIGH
+    apart[:-1] |= (piece[:-1] == ord("<")) & (piece[1:] == ord("|"))
+    if apart.any():
+        keep = np.repeat(np.logical_or.reduceat(apart, bounds[:-1]), np.diff(bounds))
+        low[keep] = piece[keep]
+    return low
 
 
 class WordEncoder:
@@ -155,19 +119,11 @@ class WordEncoder:
     def __call__(self, texts: list[str | None] | pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of each text, with the end id."""
         out: list[list[bytes]] = [[] for _ in range(len(texts))]
-        for words, rows in _pieces(texts):
+        for words, rows in word_pieces(texts, _starts, GAP, PIECE_BYTES, _lowered):
             names = pc.ascii_rtrim_whitespace(words.dictionary).to_pylist()
             self._learn([*dict.fromkeys(names)])
-            found = [*map(self.known.__getitem__, names)]
-            size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-            flat, index = np.frombuffer(b"".join(found), "<u4"), words.indices.to_numpy()
-            n = size[index]
-            ends = np.cumsum(n)
-            ids = flat[np.repeat((np.cumsum(size) - size)[index] - (ends - n), n) + np.arange(ends[-1])]
-            first = np.flatnonzero(np.diff(rows, prepend=-1))  # each text's first word here
-            cuts = [*(ends - n)[first].tolist(), len(ids)]
-            for k, i, j in zip(rows[first].tolist(), cuts, cuts[1:], strict=False):
-                out[k].append(ids[i:j].tobytes())
+            for k, ids in join_ids(words, [*map(self.known.__getitem__, names)], rows):
+                out[k].append(ids)
         return [b"".join(x) + self.end for x in out]
 
 

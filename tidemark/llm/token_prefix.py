@@ -158,11 +158,11 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "
     return _mapped(df, key, text, kinds, make)
 
 
-def _mapped(df: DataFrame, key: str, text: str, kinds: list, make) -> DataFrame:
+def _mapped(df: DataFrame, key: str, text: str, kinds: list, make, step: int = 256) -> DataFrame:
     from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
     from pyspark.sql.types import StructField, StructType
 
     kind = df.schema[key].dataType
     schema = pa.schema([(key, to_arrow_type(kind)), *kinds])
     out = StructType([StructField(key, kind), *from_arrow_schema(schema).fields[1:]])
-    return small_batches(df).select(F.col(key), F.col(text)).mapInArrow(over_rows([key, text], schema, make), out)
+    return small_batches(df).select(F.col(key), F.col(text)).mapInArrow(over_rows([key, text], schema, make, step), out)
