@@ -14,6 +14,7 @@ vocabulary count one token for each UTF-8 byte; other columns stay untouched.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import numpy as np
@@ -133,6 +134,13 @@ class PrefixCounter:
         return int(np.flatnonzero(self.prefixes(text) <= budget)[-1])
 
 
+@functools.lru_cache(1)
+def shared_counter(model_file: str) -> PrefixCounter:
+    """One counter for all tasks of a worker process: what it remembers depends on
+    the model alone."""
+    return PrefixCounter(model_file)
+
+
 def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "doc_id", text: str = "text", keep_prefixes: bool = False) -> DataFrame:
     """``key``, n_bytes, n_tokens, over_limit and ``fits_chars`` (the characters
     of the longest prefix of at most ``limit`` tokens); with ``keep_prefixes``
@@ -141,7 +149,7 @@ def count_tokens(df: DataFrame, model_file: str, limit: int = 4096, key: str = "
     kinds += [("prefix_tokens", pa.binary())] * keep_prefixes
 
     def make():
-        counter = PrefixCounter(model_file)
+        counter = shared_counter(model_file)
 
         def work(ids, texts):
             out: list[list] = [ids, *([] for _ in kinds)]
