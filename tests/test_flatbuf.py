@@ -1,5 +1,7 @@
+import tracemalloc
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -81,3 +83,44 @@ def test_validators(spark):
         validation.validate(df, check).collect()
     assert [r.error for r in validation.validate(df, validation.none(), mode="permissive").collect()] == [None] * 3
     assert validation.validate(df, validation.bound(22), mode="permissive").where("error is not null").count() == (len(good) > 22)
+
+
+def peak(run):
+    """What ``run`` gives, and the bytes of Python and NumPy it held at most."""
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_encoding_holds_little_beside_the_bytes(spark):
+    texts = [("ä" if k % 2 else "b") * (k % 3000) for k in range(4000)]
+    column = pa.array(texts)
+    payloads, most = peak(lambda: fb.encode_batch([column], fb.STRING))
+    assert most < 3 * payloads.nbytes
+    (back,), why = fb.decode_batch(payloads, fb.STRING)
+    assert back.to_pylist() == texts and not any(why)
+    batch = pa.record_batch([pa.array(range(4000)), column], ["k", "v"])
+    some = [*fb.in_parts([batch])]
+    assert len(some) > 1 and max(x.nbytes for x in some) < 5 << 20
+    assert pa.Table.from_batches(some).combine_chunks() == pa.Table.from_batches([batch])
+    doubles = pa.record_batch([pa.array([[1.0, k] * 600 for k in range(1000)])], ["v"])
+    parts = [fb.encode_batch(x.columns, fb.DOUBLES) for x in fb.in_parts([doubles])]
+    assert len(parts) > 1 and pa.concat_arrays(parts).equals(fb.encode_batch(doubles.columns, fb.DOUBLES))
+
+
+def test_sink_lays_out_parts_of_a_batch(tmp_path, monkeypatch):
+    from pyspark import TaskContext
+
+    from tidemark.sources import journal
+
+    data = pa.record_batch([pa.array([bytes([k % 256]) * (k % 5000) for k in range(8000)], pa.binary())], ["payload"])
+    task = type("Task", (), {"partitionId": lambda _: 3, "taskAttemptId": lambda _: 7})
+    monkeypatch.setattr(TaskContext, "get", staticmethod(task))
+    sink = journal.JournalWriter({"path": str(tmp_path), "checksum": "crc32"}, False, 0)
+    done, most = peak(lambda: sink.write(iter([data])))
+    assert most < 1.5 * data.nbytes  # one part's layout, not the batch's
+    assert (tmp_path / done.temp.rpartition("/")[2]).read_bytes() == b"".join(map(sink.form.encode_one, data.column(0).to_pylist()))
+    ends = np.cumsum([8 + len(p) for p in data.column(0).to_pylist()])
+    assert done.frames == 8000 and done.bytes == ends[-1] > journal.INDEX_BYTES and done.marks and all(at == ends[n - 1] for at, n in done.marks)
