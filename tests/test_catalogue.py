@@ -46,3 +46,39 @@ def test_known_checksums(spark):
 
 def test_entry(spark):
     assert catalogue.flagship(spark, SF).count() > 0
+
+
+@pytest.fixture
+def many_parts(spark, tmp_path):
+    """A copy of the small tables whose parts are read by several tasks."""
+    con = duckdb.connect()
+    for t in ("documents", "events", "customer"):
+        (tmp_path / f"{t}.parquet").mkdir()
+        for k in range(6):
+            con.sql(f"copy (select * exclude place from (select *, row_number() over () as place from '{SF}/{t}.parquet') where place % 6 = {k}) to '{tmp_path}/{t}.parquet/{k}.parquet' (format parquet)")
+    old = spark.conf.get("spark.sql.files.openCostInBytes"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(128 << 20))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield str(tmp_path)
+    spark.conf.set("spark.sql.files.openCostInBytes", old[0])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old[1])
+
+
+def check(spark, folder, name):
+    con = duckdb.connect()
+    for t in ("documents", "events", "customer"):
+        con.sql(f"create view {t} as select * from '{folder}/{t}.parquet/*.parquet'")
+    assert rows(catalogue.queries()[name](spark, folder).toPandas()) == rows(con.sql(catalogue.oracle_sql()[name]).df())
+
+
+def journals(folder, name):
+    from tidemark.sources.files import listing
+
+    (path,) = (p for key, p in catalogue._written.items() if key[1:3] == (folder, name))
+    return listing(path)
+
+
+def test_ranges_are_written_by_several_tasks(spark, many_parts):
+    check(spark, many_parts, "scan_split_ranges")
+    sizes = [n for _, n in journals(many_parts, "ranges")]
+    assert len(sizes) == 6 and max(sizes) < sum(sizes) / 2
