@@ -154,3 +154,40 @@ def test_stream_takes_names_in_any_order(spark, tmp_path):
     reader = JournalStreamReader({"path": f"{tmp_path}/in"})
     paths = lambda start, end: [p.path.rsplit("/", 1)[1][0] for p in reader.partitions(start, end)]
     assert paths({"last": f"{tmp_path}/in/n.journal"}, reader.latestOffset()) == ["p", "z"]
+
+
+def test_permissive_rows_come_in_few_batches(tmp_path):
+    from tidemark.sources import journal
+
+    payloads = [b"message %d" % k for k in range(7000)]
+    write(tmp_path / "a.journal", payloads, "crc32")
+    data, at = bytearray((tmp_path / "a.journal").read_bytes()), 0
+    for k, p in enumerate(payloads):
+        at += 8 + len(p)
+        if k % 7 == 0:
+            data[at - 1] ^= 255
+    (tmp_path / "a.journal").write_bytes(data + b"\x09\0\0\0torn")
+    piece = journal.Piece(f"{tmp_path}/a.journal", 0, None, 5)
+    got = [*journal.read_piece(piece, format_of("crc32"), {"mode": "permissive"})]
+    assert len(got) == 2  # the frames, and the torn end
+    rows = pa.Table.from_batches(got).to_pylist()
+    assert [r["frame_no"] for r in rows] == [*range(5, 7006)]
+    assert [r["error"] and r["error"]["kind"] for r in rows] == [None if k % 7 else "ChecksumMismatch" for k in range(7000)] + ["UnexpectedEof"]
+    form = format_of("crc32")
+    for k in (0, 1, 6993):
+        sound = form.checksum.of(payloads[k])
+        spoilt = payloads[k][:-1] + bytes([payloads[k][-1] ^ 255])
+        assert rows[k]["checksum"] == sound and rows[k]["payload"] == (payloads[k] if k % 7 else spoilt)
+        if k % 7 == 0:
+            assert (rows[k]["error"]["expected"], rows[k]["error"]["calculated"]) == (str(sound), str(form.checksum.of(spoilt)))
+
+
+def test_journal_of_faults_has_an_index(spark, monkeypatch):
+    from tidemark.plans import catalogue
+    from tidemark.functions.checksum import framed
+    from tidemark.sources import journal
+
+    monkeypatch.setattr(journal, "SPLIT_BYTES", 1000)
+    make = lambda: spark.range(500, numPartitions=1).select(framed(F.encode(F.col("id").cast("string"), "UTF-8"), "crc32").alias("frame"))
+    ((path, size),) = listing(catalogue.raw_journal(spark, "of faults", "faults", make, checksum="crc32"))
+    assert journal.read_index(path, size, format_of("crc32")) is not None
