@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 from tidemark.functions import flatbuf as fb
 from tidemark.operators import validation
@@ -124,3 +125,17 @@ def test_sink_lays_out_parts_of_a_batch(tmp_path, monkeypatch):
     assert (tmp_path / done.temp.rpartition("/")[2]).read_bytes() == b"".join(map(sink.form.encode_one, data.column(0).to_pylist()))
     ends = np.cumsum([8 + len(p) for p in data.column(0).to_pylist()])
     assert done.frames == 8000 and done.bytes == ends[-1] > journal.INDEX_BYTES and done.marks and all(at == ends[n - 1] for at, n in done.marks)
+
+
+def test_sessions_hand_over_small_batches(spark):
+    from tidemark.functions.batches import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    for own, want in ((None, str(BATCH_BYTES)), ("12345678", "12345678")):
+        session = spark.newSession()
+        session.conf.unset(name)
+        if own:
+            session.conf.set(name, own)
+        rows = session.range(3000).select(F.repeat(F.lit("long text "), 500).alias("value"))
+        sizes = fb.encode(rows.coalesce(1), fb.STRING).mapInArrow(lambda bs: (pa.record_batch([pa.array([b.nbytes])], ["n"]) for b in bs), "n bigint").collect()
+        assert session.conf.get(name) == want and (own or max(r.n for r in sizes) < 2 * BATCH_BYTES)
