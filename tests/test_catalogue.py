@@ -82,3 +82,15 @@ def test_ranges_are_written_by_several_tasks(spark, many_parts):
     check(spark, many_parts, "scan_split_ranges")
     sizes = [n for _, n in journals(many_parts, "ranges")]
     assert len(sizes) == 6 and max(sizes) < sum(sizes) / 2
+
+
+@pytest.mark.parametrize(("name", "made"), [("first_match", "ordered"), ("frame_layout", "layout")])
+def test_order_goes_over_several_journals(spark, many_parts, name, made):
+    if name == "first_match":  # the first match lies beyond the first journals
+        con = duckdb.connect()
+        con.sql(f"copy (select * replace (if(event_id < 700, 1.0, value) as value) from '{many_parts}/events.parquet/*.parquet') to '{many_parts}/new.parquet' (format parquet)")
+        for k in range(6):
+            con.sql(f"copy (select * from '{many_parts}/new.parquet' where event_id % 6 = {5 - k}) to '{many_parts}/events.parquet/{k}.parquet' (format parquet)")
+    check(spark, many_parts, name)
+    sizes = [n for _, n in journals(many_parts, made)]
+    assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
