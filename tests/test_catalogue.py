@@ -1,3 +1,6 @@
+import contextlib
+from pathlib import Path
+
 import duckdb
 import pandas as pd
 import pytest
@@ -94,3 +97,31 @@ def test_order_goes_over_several_journals(spark, many_parts, name, made):
     check(spark, many_parts, name)
     sizes = [n for _, n in journals(many_parts, made)]
     assert len(sizes) > 2 and max(sizes) < sum(sizes) / 2
+
+
+def workers_peak(spark, run):
+    """What ``run`` gives, and the most memory in MB that one of Spark's Python processes had meanwhile."""
+    jvm, most = spark.sparkContext._jvm, 0
+    pids = lambda: [p.pid() for p in jvm.java.lang.ProcessHandle.current().descendants().toArray()]
+    for p in pids():
+        with contextlib.suppress(OSError):  # it has ended
+            Path(f"/proc/{p}/clear_refs").write_text("5")  # from here on
+    got = run()
+    for p in pids():
+        with contextlib.suppress(OSError):
+            most = max([most, *(int(line.split()[1]) >> 10 for line in Path(f"/proc/{p}/status").read_text().splitlines() if line.startswith("VmHWM"))])
+    return got, most
+
+
+def test_bound_by_length_holds_no_more_of_a_longer_table(spark, tmp_path):
+    peaks = []
+    for n in (500, 10_000):
+        folder = tmp_path / str(n)
+        folder.mkdir()
+        con = duckdb.connect()
+        con.sql(f"copy (select range as doc_id, if(range % 9 = 0, null, repeat('text ', (range % 1200)::int)) as text from range({n})) to '{folder}/documents.parquet' (format parquet)")
+        con.sql(f"create view documents as select * from '{folder}/documents.parquet'")
+        got, most = workers_peak(spark, lambda: catalogue.queries()["bound_by_length"](spark, str(folder)).toPandas())  # noqa: B023
+        assert rows(got) == rows(con.sql(catalogue.oracle_sql()["bound_by_length"]).df())
+        peaks.append(most)
+    assert 0 < peaks[1] < peaks[0] + 100
